@@ -380,6 +380,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text", k
     kept = docs.drop(*names)
     schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema.fields), *added])
     place = kept.columns.index(text)
+    names_out = [*kept.columns, *[a.split()[0] for a in added]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokenizer(path)
@@ -399,7 +400,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text", k
                 columns = [*part.columns, pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())]
                 if keep_ids:
                     columns.append(pa.array(raw, pa.binary()))
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept.columns, *[a.split()[0] for a in added]])
+                yield pa.RecordBatch.from_arrays(columns, names=names_out)
 
     return kept.mapInArrow(run, schema)
 
