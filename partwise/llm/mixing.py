@@ -126,12 +126,13 @@ def low_key(key: Column) -> Column:
     return F.coalesce(key, F.lit(-(2**63)))
 
 
-def copies(key: Column, size: Column, cap: int, seed: str) -> Column:
-    """How often the mix takes a row that is joined with its source's rates."""
-    e = due(F.col("rate"), size, cap)
+def copies(key: Column, size: Column, cap: int, seed: str, prefix: str = "") -> Column:
+    """How often the mix takes a row that is joined with its source's rates (in columns with the prefix)."""
+    e = due(F.col(f"{prefix}rate"), size, cap)
     r = rank(key, e, seed)
-    bucket = F.floor(r * BUCKETS)
-    drawn = (bucket < F.col("cut_bucket")) | ((bucket == F.col("cut_bucket")) & (F.struct(r.alias("rank"), low_key(key).alias("key"), size.alias("size")) <= F.col("last")))
+    bucket, edge = F.floor(r * BUCKETS), F.col(f"{prefix}cut_bucket")
+    at = F.struct(r.alias("rank"), low_key(key).alias("key"), size.alias("size"))
+    drawn = (bucket < edge) | ((bucket == edge) & (at <= F.col(f"{prefix}last")))
     return (F.floor(e) + F.when(F.coalesce(drawn, F.lit(False)), 1).otherwise(0)).cast("long")
 
 
@@ -154,20 +155,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     found = rates(rows, weights, cap, seed)
     found = found.select(*[F.col(c).alias(f"_mix_{c}") for c in found.columns])
     joined = docs.join(found, F.col("source").eqNullSafe(F.col("_mix_source")))
-    joined = joined.withColumn("_mix_size", word_count("text"))
-    plain = joined.select(*docs.columns, *[F.col(f"_mix_{c}").alias(f"_mix_{c}") for c in ("rate", "cut_bucket", "last", "size")])
-    e = copies_of(plain, cap, seed)
-    return plain.withColumn("_mix_n", e).where("_mix_n > 0").withColumn("_mix_i", F.explode(F.sequence(F.lit(1), F.col("_mix_n").cast("int")))).select(*docs.columns)
-
-
-def copies_of(plain: DataFrame, cap: int, seed: str) -> Column:
-    """``copies`` on columns that bear the prefix ``_mix_``."""
-    e = F.least(F.lit(float(cap)), F.col("_mix_rate") * length_class(F.col("_mix_size")))
-    r = rank(F.col("doc_id"), e, seed)
-    bucket = F.floor(r * BUCKETS)
-    at = F.struct(r.alias("rank"), low_key(F.col("doc_id")).alias("key"), F.col("_mix_size").alias("size"))
-    drawn = (bucket < F.col("_mix_cut_bucket")) | ((bucket == F.col("_mix_cut_bucket")) & (at <= F.col("_mix_last")))
-    return F.floor(e) + F.when(F.coalesce(drawn, F.lit(False)), 1).otherwise(0)
+    counted = joined.withColumn("_mix_n", copies(F.col("doc_id"), word_count("text"), cap, seed, "_mix_").cast("int"))
+    return counted.where("_mix_n > 0").withColumn("_mix_i", F.explode(F.sequence(F.lit(1), "_mix_n"))).select(*docs.columns)
 
 
 #: The whole query in DuckDB, with plain windows over all rows of a source.

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partwise.llm import bpe
+from partwise.llm import bpe, mixing
 from partwise.llm.common import table
 
 
+def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    return mixing.allocate(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
@@ -17,9 +22,9 @@ def op7_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Callables ``(spark, sf_dir) -> DataFrame`` by query name."""
-    return {"op7_bpe_encode": op7_bpe_encode}
+    return {"op1_pareto_mix": op1_pareto_mix, "op7_bpe_encode": op7_bpe_encode}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name, where SQL can express the query."""
-    return {}
+    return {"op1_pareto_mix": mixing.SQL}
