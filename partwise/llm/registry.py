@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partwise.llm import bpe, mixing
+from partwise.llm import bpe, mixing, quality
 from partwise.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allocate(table(spark, sf_dir, "documents"))
 
 
+def op4_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of every document."""
+    return quality.judged(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
@@ -22,7 +27,11 @@ def op7_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Callables ``(spark, sf_dir) -> DataFrame`` by query name."""
-    return {"op1_pareto_mix": op1_pareto_mix, "op7_bpe_encode": op7_bpe_encode}
+    return {
+        "op1_pareto_mix": op1_pareto_mix,
+        "op4_robust_quality": op4_robust_quality,
+        "op7_bpe_encode": op7_bpe_encode,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
