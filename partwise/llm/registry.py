@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partwise.llm import bpe, mixing, quality
+from partwise.llm import bpe, langid, mixing, quality, secrets
 from partwise.llm.common import table
 
 
@@ -20,17 +20,29 @@ def op4_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
+def op5_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document."""
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Callables ``(spark, sf_dir) -> DataFrame`` by query name."""
     return {
         "op1_pareto_mix": op1_pareto_mix,
         "op4_robust_quality": op4_robust_quality,
+        "op5_rank_order_language": op5_rank_order_language,
         "op7_bpe_encode": op7_bpe_encode,
+        "op10_secret_grammar": op10_secret_grammar,
     }
 
 
