@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partwise.llm import bpe, langid, mixing, quality, secrets
+from partwise.llm import bpe, langid, mixing, quality, secrets, urls
 from partwise.llm.common import table
 
 
@@ -30,6 +30,11 @@ def op7_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_url_digest_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of every document."""
     return secrets.scan(table(spark, sf_dir, "documents"))
@@ -42,10 +47,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_robust_quality": op4_robust_quality,
         "op5_rank_order_language": op5_rank_order_language,
         "op7_bpe_encode": op7_bpe_encode,
+        "op8_url_digest_filter": op8_url_digest_filter,
         "op10_secret_grammar": op10_secret_grammar,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name, where SQL can express the query."""
-    return {"op1_pareto_mix": mixing.SQL}
+    return {"op1_pareto_mix": mixing.SQL, "op8_url_digest_filter": urls.SQL}
