@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from partwise.llm import bpe, langid, mixing, quality, secrets, urls
+from partwise.llm import bpe, langid, mixing, quality, secrets, topk, urls
 from partwise.llm.common import table
 
 
@@ -35,6 +36,11 @@ def op8_url_digest_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_norm_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every 50th vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op10_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of every document."""
     return secrets.scan(table(spark, sf_dir, "documents"))
@@ -48,10 +54,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_rank_order_language": op5_rank_order_language,
         "op7_bpe_encode": op7_bpe_encode,
         "op8_url_digest_filter": op8_url_digest_filter,
+        "op9_norm_sorted_topk": op9_norm_sorted_topk,
         "op10_secret_grammar": op10_secret_grammar,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name, where SQL can express the query."""
-    return {"op1_pareto_mix": mixing.SQL, "op8_url_digest_filter": urls.SQL}
+    return {"op1_pareto_mix": mixing.SQL, "op8_url_digest_filter": urls.SQL, "op9_norm_sorted_topk": topk.SQL}
