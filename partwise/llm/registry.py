@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partwise.llm import bpe, langid, mixing, quality, secrets, topk, urls
+from partwise.llm import bpe, langid, mixing, quality, secrets, topk, urls, warc
 from partwise.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allocate(table(spark, sf_dir, "documents"))
 
 
+def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive every page, read the archives back, describe each capture."""
+    return warc.digests(warc.transactions(table(spark, sf_dir, "pages")))
+
+
 def op4_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of every document."""
     return quality.judged(table(spark, sf_dir, "documents"))
@@ -50,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Callables ``(spark, sf_dir) -> DataFrame`` by query name."""
     return {
         "op1_pareto_mix": op1_pareto_mix,
+        "op3_warc_transactions": op3_warc_transactions,
         "op4_robust_quality": op4_robust_quality,
         "op5_rank_order_language": op5_rank_order_language,
         "op7_bpe_encode": op7_bpe_encode,
@@ -61,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name, where SQL can express the query."""
-    return {"op1_pareto_mix": mixing.SQL, "op8_url_digest_filter": urls.SQL, "op9_norm_sorted_topk": topk.SQL}
+    return {"op1_pareto_mix": mixing.SQL, "op3_warc_transactions": warc.SQL, "op8_url_digest_filter": urls.SQL, "op9_norm_sorted_topk": topk.SQL}
