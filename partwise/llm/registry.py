@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partwise.llm import bpe, langid, mixing, quality, secrets, topk, urls, warc
+from partwise.llm import bpe, langid, mixing, neardup, quality, secrets, topk, urls, warc
 from partwise.llm.common import table
 
 
@@ -16,6 +16,11 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.allocate(table(spark, sf_dir, "documents"))
 
 
+def op2_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components over two-word shingles."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), length=2, least=80)
+
+
 def op3_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archive every page, read the archives back, describe each capture."""
     return warc.digests(warc.transactions(table(spark, sf_dir, "pages")))
@@ -55,6 +60,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Callables ``(spark, sf_dir) -> DataFrame`` by query name."""
     return {
         "op1_pareto_mix": op1_pareto_mix,
+        "op2_chosen_path_dedup": op2_chosen_path_dedup,
         "op3_warc_transactions": op3_warc_transactions,
         "op4_robust_quality": op4_robust_quality,
         "op5_rank_order_language": op5_rank_order_language,
