@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partwise.llm import bpe, langid, mixing, neardup, quality, secrets, topk, urls, warc
+from partwise.llm import bpe, langid, mixing, neardup, passages, quality, secrets, topk, urls, warc
 from partwise.llm.common import table
 
 
@@ -36,6 +36,11 @@ def op5_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_bwt_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated 200-byte passages."""
+    return passages.removed(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"))
@@ -64,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_warc_transactions": op3_warc_transactions,
         "op4_robust_quality": op4_robust_quality,
         "op5_rank_order_language": op5_rank_order_language,
+        "op6_bwt_passages": op6_bwt_passages,
         "op7_bpe_encode": op7_bpe_encode,
         "op8_url_digest_filter": op8_url_digest_filter,
         "op9_norm_sorted_topk": op9_norm_sorted_topk,
