@@ -396,7 +396,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text", k
                     decoded = model.decode_names(ids)
                     text_digests.append(hashlib.sha256(decoded.encode()).hexdigest())
                     if keep_ids:
-                        raw.append(np.array(ids, "<i4").tobytes())
+                        raw.append(np.fromstring(joined, "<i4", sep=",").tobytes() if joined else b"")
                 columns = [*part.columns, pa.array(counts, pa.int64()), pa.array(id_digests, pa.string()), pa.array(text_digests, pa.string())]
                 if keep_ids:
                     columns.append(pa.array(raw, pa.binary()))

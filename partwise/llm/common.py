@@ -40,6 +40,15 @@ def word_count(col: str | Column) -> Column:
     return F.when(tight == "", F.lit(0)).otherwise(blanks + 1).cast("long")
 
 
+#: Rows up to which a written table is sent to every executor.
+BROADCAST_ROWS = 20_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A hint to broadcast a written table of a few narrow columns, if a count shows that it is small enough; else as it is."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values so that every input bit reaches every output bit (the public splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

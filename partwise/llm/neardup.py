@@ -580,7 +580,15 @@ def same(a: Column, b: Column) -> Column:
 
 
 def deduplicated(docs: DataFrame, length: int = 5, least: int = 80) -> DataFrame:
-    """The rows of documents that represent their components, with the input's columns; repeated rows of one id all stay out but one set."""
-    verdict = near_duplicates(docs, length, least)
+    """One row of each component, with the input's columns: that of the least id.
+
+    Of rows that repeat an id one stays; rows with a null id all stay.
+    """
+    verdict = cut(near_duplicates(docs, length, least))
     gone = verdict.where("not kept").select(F.col("doc_id").alias("_near_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_near_id"), "left_anti")
+    left = docs.join(gone, F.col("doc_id") == F.col("_near_id"), "left_anti")
+    again = cut(verdict.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_near_id")))
+    if again.isEmpty():
+        return left
+    twice = left.join(again, F.col("doc_id") == F.col("_near_id"), "left_semi").dropDuplicates(["doc_id"])
+    return left.join(again, F.col("doc_id") == F.col("_near_id"), "left_anti").unionByName(twice)

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partwise.llm.common import GAP, SPACES, text_or_empty
+from partwise.llm.common import GAP, SPACES, small, text_or_empty
 from partwise.session import cut
 
 SYMBOLS = r"#*$%&|<>"
@@ -84,46 +84,47 @@ def base_counts(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFr
     return one.drop(*[f"{p}{c}" for c in "whvstl"])
 
 
-def described() -> list[Column]:
-    """The statistics, from the base counts, in fixed point."""
-    n, c = F.col("n_words"), F.greatest(F.col("word_chars"), F.lit(1))
+def described(prefix: str = "") -> list[Column]:
+    """The statistics ``x0 .. x4``, from the base counts, in fixed point."""
+    col = lambda c: F.col(f"{prefix}{c}")
+    n, c = col("n_words"), F.greatest(col("word_chars"), F.lit(1))
     parts = [
         F.log(n + F.lit(1.0)),
         F.log(c / F.greatest(n, F.lit(1))),
-        F.log(F.lit(1.0) + F.col("n_symbols") * 100 / c),
-        F.log(F.lit(1.0) + F.col("n_dup_lines") * 100 / (n + F.lit(1.0))),
-        F.log(F.lit(1.0) + F.col("n_repeat_words") * 100 / (n + F.lit(1.0))),
+        F.log(F.lit(1.0) + col("n_symbols") * 100 / c),
+        F.log(F.lit(1.0) + col("n_dup_lines") * 100 / (n + F.lit(1.0))),
+        F.log(F.lit(1.0) + col("n_repeat_words") * 100 / (n + F.lit(1.0))),
     ]
-    return [F.round(x * UNIT).cast("long").alias(f"x{k}") for k, x in enumerate(parts)]
+    return [F.round(x * UNIT).cast("long").alias(f"{prefix}x{k}") for k, x in enumerate(parts)]
 
 
-def pooled(rows: DataFrame) -> DataFrame:
-    """Rows once for each pool they count in; ``pool`` is a string, and ``own`` says whether the row is judged by it."""
+def pool_names(lang: str = "lang", source: str = "source") -> tuple[Column, Column]:
+    """Names of a row's language and of its language and source; null is a value of its own."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    rows = rows.withColumn("lang_pool", F.concat(F.lit("1"), name("lang"))).withColumn("fine_pool", F.concat(F.lit("2"), name("lang"), F.lit("\x01"), name("source")))
+    return F.concat(F.lit("1"), name(lang)), F.concat(F.lit("2"), name(lang), F.lit("\x01"), name(source))
+
+
+def pooled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows once for each pool they count in, in ``pool``; and for each ``fine_pool`` the pool that judges it."""
+    lang_pool, fine_pool = pool_names()
+    rows = rows.withColumn("lang_pool", lang_pool).withColumn("fine_pool", fine_pool)
     fine = rows.groupBy("lang_pool", "fine_pool").agg(F.count("*").alias("n"))
     fine = fine.withColumn("m", F.sum("n").over(Window.partitionBy("lang_pool")))
     choice = F.when(F.col("n") >= LEAST, F.col("fine_pool")).when(F.col("m") >= LEAST, F.col("lang_pool")).otherwise("0")
-    fine = cut(fine.select(F.col("fine_pool").alias("f"), choice.alias("judge")))
-    needed = fine.select(F.col("judge").alias("pool")).distinct()
-    rows = rows.join(fine, F.col("fine_pool") == F.col("f")).drop("f")
-    rows = rows.withColumn("pool", F.explode(F.array(F.lit("0"), "lang_pool", "fine_pool"))).drop("lang_pool", "fine_pool")
-    return rows.join(needed, "pool", "left_semi").withColumn("own", F.col("pool") == F.col("judge")).drop("judge")
-
-
-def centred(x: str, mean: str) -> Column:
-    """A statistic's distance from a mean, in logarithms."""
-    return (F.col(x) - F.col(mean)) / UNIT
+    fine = cut(fine.select("fine_pool", choice.alias("pool")))
+    rows = rows.withColumn("pool", F.explode(F.array(F.lit("0"), "lang_pool", "fine_pool"))).drop("lang_pool", "fine_pool", "lang", "source")
+    return rows.join(small(fine.select("pool").distinct()), "pool", "left_semi"), fine
 
 
-def squared_distance() -> Column:
+def squared_distance(prefix: str = "") -> Column:
     """Mahalanobis distance, squared, by forward substitution in the group's Cholesky factor ``l_ij`` with means ``m_i``."""
+    col = lambda c: F.col(f"{prefix}{c}")
     solved: list[Column] = []
     for i in range(DIMS):
-        value = centred(f"x{i}", f"m{i}")
+        value = (col(f"x{i}") - col(f"m{i}")) / UNIT
         for j in range(i):
-            value = value - F.col(f"l{i}{j}") * solved[j]
-        solved.append(value / F.col(f"l{i}{i}"))
+            value = value - col(f"l{i}{j}") * solved[j]
+        solved.append(value / col(f"l{i}{i}"))
     return sum((z * z for z in solved[1:]), solved[0] * solved[0])
 
 
@@ -159,8 +160,8 @@ def start(rows: DataFrame) -> DataFrame:
     Fixed-point values have a bounded number of distinct values, so the exact
     percentile's buffer of value counts is bounded too.
     """
-    middle = rows.groupBy("pool").agg(*[F.percentile(f"x{i}", 0.5).alias(f"m{i}") for i in range(DIMS)])
-    off = rows.join(middle, "pool").groupBy("pool").agg(*[F.percentile(F.round(F.abs(F.col(f"x{i}") - F.col(f"m{i}"))), 0.5).alias(f"d{i}") for i in range(DIMS)])
+    middle = cut(rows.groupBy("pool").agg(*[F.percentile(f"x{i}", 0.5).alias(f"m{i}") for i in range(DIMS)]))
+    off = rows.join(small(middle), "pool").groupBy("pool").agg(*[F.percentile(F.round(F.abs(F.col(f"x{i}") - F.col(f"m{i}"))), 0.5).alias(f"d{i}") for i in range(DIMS)])
     scale = [F.sqrt(F.pow(F.col(f"d{i}") * (1.4826 / UNIT), 2) + FLOORS[i]).alias(f"l{i}{i}") for i in range(DIMS)]
     zero = [F.lit(0.0).alias(f"l{i}{j}") for i in range(DIMS) for j in range(i)]
     return middle.join(off, "pool").select("pool", *[f"m{i}" for i in range(DIMS)], *scale, *zero)
@@ -168,7 +169,7 @@ def start(rows: DataFrame) -> DataFrame:
 
 def concentrated(rows: DataFrame, params: DataFrame) -> DataFrame:
     """One concentration step: from each pool's factor to that of its closest rows."""
-    d2 = rows.join(params, "pool").withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.log2(squared_distance() + 1) * 128)).cast("int"))
+    d2 = rows.join(small(params), "pool").withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.log2(squared_distance() + 1) * 128)).cast("int"))
     sums = {f"s{i}": F.sum(f"x{i}") for i in range(DIMS)} | {f"s{i}{j}": F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(DIMS) for j in range(i + 1)}
     binned = d2.groupBy("pool", "bin").agg(F.count("*").alias("n"), *[v.alias(k) for k, v in sums.items()])
     up = Window.partitionBy("pool").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -186,6 +187,25 @@ def estimates(rows: DataFrame) -> DataFrame:
     return params
 
 
+def fit(counts: DataFrame) -> DataFrame:
+    """``fine_pool`` and the factor that judges it, from base counts with ``lang`` and ``source``."""
+    rows, fine = pooled(counts.where(~F.col("base_failed")).select("lang", "source", *described()))
+    params = estimates(cut(rows))
+    return cut(fine.join(params, "pool").drop("pool"))
+
+
+def verdicts(counts: DataFrame, model: DataFrame, prefix: str = "") -> DataFrame:
+    """Add ``distance2`` (null where the limits decide) and ``kept``, each after ``prefix``, to base counts that bear it too."""
+    p = prefix
+    named = small(model.select(*[F.col(c).alias(f"{p}{c}") for c in model.columns]))
+    held = counts.columns
+    joined = counts.select(*counts.columns, *described(p), pool_names()[1].alias(f"{p}pool"))
+    joined = joined.join(named, F.col(f"{p}pool") == F.col(f"{p}fine_pool"), "left")
+    joined = joined.withColumn(f"{p}distance2", F.when(~F.col(f"{p}base_failed"), squared_distance(p)))
+    kept = ~F.col(f"{p}base_failed") & F.coalesce(F.col(f"{p}distance2") <= CUTOFF, F.lit(False))
+    return joined.select(*held, f"{p}distance2", kept.alias(f"{p}kept"))
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance2, kept`` of every row.
 
@@ -193,14 +213,18 @@ def judged(docs: DataFrame) -> DataFrame:
     are values of their own.  Repeated rows are judged alike.  An empty table
     gives an empty result; other columns are ignored.
     """
-    counts = cut(base_counts(docs.select("doc_id", "lang", "source", "text")).drop("text").withColumn("row", F.monotonically_increasing_id()))
-    good = counts.where(~F.col("base_failed")).select("row", "lang", "source", *described())
-    rows = cut(pooled(good))
-    params = estimates(rows)
-    verdict = rows.where("own").join(params, "pool").select("row", squared_distance().alias("distance2"))
-    out = counts.join(verdict, "row", "left")
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= CUTOFF, F.lit(False))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", kept.alias("kept"))
+    counts = cut(base_counts(docs.select("doc_id", "lang", "source", "text")).drop("text"))
+    return verdicts(counts, fit(counts)).drop("lang", "source")
+
+
+def passed(docs: DataFrame) -> DataFrame:
+    """The rows that are kept, with the input's columns.
+
+    The model is fitted on the counts alone; then the texts are read once more,
+    counted and judged row by row, so no text is shuffled.
+    """
+    model = fit(cut(base_counts(docs.select("lang", "source", "text")).drop("text")))
+    return verdicts(base_counts(docs, prefix="_q_"), model, "_q_").where("_q_kept").select(*docs.columns)
 
 
 def chi2_share(x: float, dims: int) -> float:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from partwise.llm import bpe, langid, mixing, neardup, passages, quality, secrets, topk, urls, warc
 from partwise.llm.common import table
 
@@ -74,9 +75,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_digest_filter": op8_url_digest_filter,
         "op9_norm_sorted_topk": op9_norm_sorted_topk,
         "op10_secret_grammar": op10_secret_grammar,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name, where SQL can express the query."""
-    return {"op1_pareto_mix": mixing.SQL, "op3_warc_transactions": warc.SQL, "op8_url_digest_filter": urls.SQL, "op9_norm_sorted_topk": topk.SQL}
+    found = {"op1_pareto_mix": mixing.SQL, "op3_warc_transactions": warc.SQL, "op8_url_digest_filter": urls.SQL, "op9_norm_sorted_topk": topk.SQL}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
