@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-X, Y = F.col("value"), F.col("fitted")
+
+def _x() -> Column:
+    return F.col("value")
+
+
+def _y() -> Column:
+    return F.col("fitted")
 
 
 def paired(x: DataFrame, fitted: DataFrame) -> DataFrame:
@@ -15,7 +21,7 @@ def paired(x: DataFrame, fitted: DataFrame) -> DataFrame:
 
 
 def rss() -> Column:
-    return F.sum((X - Y) * (X - Y))
+    return F.sum((_x() - _y()) * (_x() - _y()))
 
 
 def r_squared() -> Column:
@@ -24,8 +30,8 @@ def r_squared() -> Column:
 
 
 def cosine() -> Column:
-    length = F.sqrt(F.sum(X * X) * F.sum(Y * Y))
-    return F.when(length > 0, F.sum(X * Y) / length)
+    length = F.sqrt(F.sum(_x() * _x()) * F.sum(_y() * _y()))
+    return F.when(length > 0, F.sum(_x() * _y()) / length)
 
 
 def l2_norm() -> Column:
@@ -33,7 +39,7 @@ def l2_norm() -> Column:
 
 
 def kullback_leibler() -> Column:
-    return F.sum(F.when(X > 0, X * F.log(X / Y)).otherwise(0.0) - X + Y)
+    return F.sum(F.when(_x() > 0, _x() * F.log(_x() / _y())).otherwise(0.0) - _x() + _y())
 
 
 def frobenius() -> Column:
@@ -41,7 +47,7 @@ def frobenius() -> Column:
 
 
 def itakura_saito() -> Column:
-    return F.sum(X / Y - F.log(X / Y) - 1)
+    return F.sum(_x() / _y() - F.log(_x() / _y()) - 1)
 
 
 def quality(pairs: DataFrame, w: DataFrame, h: DataFrame) -> DataFrame:

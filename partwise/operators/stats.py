@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from partwise.kernels import small
 
@@ -54,13 +55,13 @@ def dunn(ranked: DataFrame, by: list[str]) -> DataFrame:
     return a.join(b, by).where("a < b").select(*by, "a", "b", (F.abs(F.col("ra") / F.col("na") - F.col("rb") / F.col("nb")) / spread).alias("z"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
     """P(chi-square >= x)."""
     return pd.Series([None if pd.isna(a) else small.chi2_tail(float(a), int(d)) for a, d in zip(x, df, strict=True)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_tail(z: pd.Series) -> pd.Series:
     """P(|N| >= |z|)."""
     return z.map(lambda v: None if pd.isna(v) else small.normal_tail(float(v)))
