@@ -396,7 +396,7 @@ def split_large(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
                 best = np.zeros(len(rest))
                 for p in pivots:
                     close = (rows[rest] == rows[p]).mean(axis=1)
-                    hit = rest[close >= LOOSE]
+                    hit = rest[(close >= LOOSE) & (ids[rest] != ids[p])]
                     best = np.maximum(best, close)
                     if len(hit):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), ids[p])), pa.array(ids[hit]), pa.array(np.zeros(len(hit), np.int64)), pa.array([b""] * len(hit), pa.binary())], names=["a", "b", "node", "sketch"])
