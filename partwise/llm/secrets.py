@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from partwise.session import cut
+
 # The rules' patterns, kinds in order, and lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -270,7 +272,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = SAMPLE_CR
             [pa.array([k for k, _ in counts], pa.string()), pa.array([w for _, w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], names=["kind", "word", "n"]
         )
 
-    summed = chosen.mapInArrow(found, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
+    summed = cut(chosen.mapInArrow(found, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")))
     credentials: dict[str, Counter[str]] = {}
     for kind in ("", *KINDS):
         rows = summed.where(F.col("kind") == kind).orderBy(F.xxhash64("word"), "word").limit(most).collect()
