@@ -479,7 +479,7 @@ def peak_and_knee(spark, d):
 
     from partwise.kernels import small
 
-    table = spark.createDataFrame([(0, r, v) for r, v in zip(range(2, 12), [0.6, 1, 0.9, 0.92, 0.93, 0.98, 0.7, 0.6, 0.5, 0.4], strict=True)], "g int, rank int, v double")
+    table = spark.createDataFrame([(0, r, v) for r, v in zip(range(2, 12), [0.6, 1.0, 0.9, 0.92, 0.93, 0.98, 0.7, 0.6, 0.5, 0.4], strict=True)], "g int, rank int, v double")
     rows = table.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("rank", "v"))).alias("s"))
 
     def run(batches):
