@@ -49,6 +49,16 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def once(df: DataFrame, name: str) -> DataFrame:
+    """Keep costly columns from being copied into later filters.
+
+    Catalyst moves a filter below the columns it tests by repeating their
+    expressions, once for each mention.  It doesn't where a column, here one of
+    this name, isn't deterministic.
+    """
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values so that every input bit reaches every output bit (the public splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)

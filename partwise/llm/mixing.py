@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partwise.llm.common import word_count
+from partwise.llm.common import once, small, word_count
 from partwise.session import cut
 
 #: Rank buckets a source.  A source of 10**10 documents has about 150,000 in one.
@@ -100,7 +100,7 @@ def rates(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, s
         )
     )
     known = params.select(F.col("source").alias("s"), "rate", "missing")
-    ranked = rows.join(known, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    ranked = rows.join(small(known), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     ranked = ranked.withColumn("rank", rank(F.col("key"), due(F.col("rate"), F.col("size"), cap), seed)).where("rank is not null and size > 0")
     ranked = ranked.withColumn("bucket", F.floor(F.col("rank") * BUCKETS))
     counted = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("missing").alias("missing"))
@@ -144,7 +144,7 @@ def allocate(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     their decision.  Other columns are ignored.
     """
     rows = cut(docs.select(F.col("doc_id").alias("key"), "source", word_count("text").alias("size")))
-    found = rates(rows, weights, cap, seed).withColumnRenamed("source", "s")
+    found = small(cut(rates(rows, weights, cap, seed).withColumnRenamed("source", "s")))
     out = rows.join(found, F.col("source").eqNullSafe(F.col("s")))
     return out.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (copies(F.col("key"), F.col("size"), cap, seed) * F.col("size")).alias("taken"))
 
@@ -154,9 +154,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     rows = cut(docs.select(F.col("doc_id").alias("key"), "source", word_count("text").alias("size")))
     found = rates(rows, weights, cap, seed)
     found = found.select(*[F.col(c).alias(f"_mix_{c}") for c in found.columns])
-    joined = docs.join(found, F.col("source").eqNullSafe(F.col("_mix_source")))
-    counted = joined.withColumn("_mix_n", copies(F.col("doc_id"), word_count("text"), cap, seed, "_mix_").cast("int"))
-    return counted.where("_mix_n > 0").withColumn("_mix_i", F.explode(F.sequence(F.lit(1), "_mix_n"))).select(*docs.columns)
+    joined = docs.join(small(cut(found)), F.col("source").eqNullSafe(F.col("_mix_source")))
+    counted = joined.withColumn("_mix_size", word_count("text"))
+    counted = once(counted, "_mix_row").withColumn("_mix_n", copies(F.col("doc_id"), F.col("_mix_size"), cap, seed, "_mix_").cast("int"))
+    return once(counted, "_mix_row").where("_mix_n > 0").withColumn("_mix_i", F.explode(F.sequence(F.lit(1), "_mix_n"))).select(*docs.columns)
 
 
 #: The whole query in DuckDB, with plain windows over all rows of a source.

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partwise.llm.common import GAP, SPACES, small, text_or_empty
+from partwise.llm.common import GAP, SPACES, once, small, text_or_empty
 from partwise.session import cut
 
 SYMBOLS = r"#*$%&|<>"
@@ -224,7 +224,7 @@ def passed(docs: DataFrame) -> DataFrame:
     counted and judged row by row, so no text is shuffled.
     """
     model = fit(cut(base_counts(docs.select("lang", "source", "text")).drop("text")))
-    return verdicts(base_counts(docs, prefix="_q_"), model, "_q_").where("_q_kept").select(*docs.columns)
+    return verdicts(once(base_counts(docs, prefix="_q_"), "_q_row"), model, "_q_").where("_q_kept").select(*docs.columns)
 
 
 def chi2_share(x: float, dims: int) -> float:
