@@ -54,7 +54,8 @@ def once(df: DataFrame, name: str) -> DataFrame:
 
     Catalyst moves a filter below the columns it tests by repeating their
     expressions, once for each mention.  It doesn't where a column, here one of
-    this name, isn't deterministic.
+    this name, isn't deterministic; the filter must mention it (``name >= 0``),
+    or the column is pruned.
     """
     return df.withColumn(name, F.monotonically_increasing_id())
 

@@ -157,7 +157,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, see
     joined = docs.join(small(cut(found)), F.col("source").eqNullSafe(F.col("_mix_source")))
     counted = joined.withColumn("_mix_size", word_count("text"))
     counted = once(counted, "_mix_row").withColumn("_mix_n", copies(F.col("doc_id"), F.col("_mix_size"), cap, seed, "_mix_").cast("int"))
-    return once(counted, "_mix_row").where("_mix_n > 0").withColumn("_mix_i", F.explode(F.sequence(F.lit(1), "_mix_n"))).select(*docs.columns)
+    return once(counted, "_mix_rank").where("_mix_n > 0 and _mix_rank >= 0 and _mix_row >= 0").withColumn("_mix_i", F.explode(F.sequence(F.lit(1), "_mix_n"))).select(*docs.columns)
 
 
 #: The whole query in DuckDB, with plain windows over all rows of a source.

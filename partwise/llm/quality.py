@@ -224,7 +224,7 @@ def passed(docs: DataFrame) -> DataFrame:
     counted and judged row by row, so no text is shuffled.
     """
     model = fit(cut(base_counts(docs.select("lang", "source", "text")).drop("text")))
-    return verdicts(once(base_counts(docs, prefix="_q_"), "_q_row"), model, "_q_").where("_q_kept").select(*docs.columns)
+    return verdicts(once(base_counts(docs, prefix="_q_"), "_q_row"), model, "_q_").where("_q_kept and _q_row >= 0").select(*docs.columns)
 
 
 def chi2_share(x: float, dims: int) -> float:
