@@ -39,9 +39,8 @@ KINDS = ("assign", "access", "hex")
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 TRIGGERS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-#: Learned candidates: whole runs of these characters, with a digit and a letter, within these lengths.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,200}(?![A-Za-z0-9+/_=-])")
-START_OK = re.compile(r"[A-Za-z0-9+/_=-]")
+#: Learned candidates: whole runs of these characters, with a digit and a letter, from this length on.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 #: About so many documents are read for labelled credentials, chosen by a hash of their ids.
 SAMPLE_DOCS = 20_000
 #: At most so many distinct credentials of a kind are learned from, those of least hash.
@@ -229,12 +228,9 @@ def credential(text: str, start: int, kind: int, end: int) -> str:
 def candidates(text: str) -> Iterator[tuple[int, int]]:
     """Whole runs of credential characters with a digit and a letter."""
     for m in CANDIDATE.finditer(text):
-        s = m.start()
-        if s and START_OK.match(text[s - 1]):
-            continue
         token = m[0]
         if any(c.isdigit() for c in token) and any(c.isalpha() for c in token):
-            yield s, m.end()
+            yield m.start(), m.end()
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = SAMPLE_CREDENTIALS) -> Formats:

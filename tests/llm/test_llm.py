@@ -345,6 +345,18 @@ def test_inferred_grammar_knows_its_format():
     assert formats.best("someordinarywords1") is None or formats.best("someordinarywords1")[1] < secrets.LEAST_BITS
 
 
+def test_long_runs_are_candidates(spark):
+    for n in (15, 16, 200, 201, 300, 5000):
+        run = ("Q7" * n)[:n]
+        assert list(secrets.candidates(f"see {run}, then")) == ([(4, 4 + n)] if n >= 16 else [])
+    formats = secrets.Formats({}, collections.Counter(w.translate(secrets.CLASSES) for w in prose(3, 400).split()))
+    formats.tables = {"access": {(0, "0"): (0, -1.0), (0, "Z"): (0, -1.0), (0, ""): (-1, -9.0)}}
+    key = "Q7" * 150
+    assert secrets.all_spans(f"see {key}.", formats)[1] == [(4, "like_access", 304)]
+    clean = secrets.redact(spark.createDataFrame([(1, f"see {key}.")], "doc_id long, text string"), formats=formats).first()
+    assert clean["text"] == "see [secret]."
+
+
 def test_pipeline_stages(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near-duplicate removal", "secret scan", "source mix", "BPE encoding"]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
