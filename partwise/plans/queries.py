@@ -76,6 +76,17 @@ def matrix_unpivot_long(spark, d):
     return matrix.long(matrix_pivot_wide(spark, d))
 
 
+@query(" SELECT * FROM (PIVOT m1 ON sample USING max(value) GROUP BY feature)")
+def matrix_pivot_whole(spark, d):
+    x = m1(spark, d)
+    return matrix.wide(x, sorted(r["sample"] for r in x.select("sample").distinct().collect()))
+
+
+@query(" SELECT feature, sample, value FROM m1")
+def matrix_unpivot_whole(spark, d):
+    return matrix.long(matrix_pivot_whole(spark, d))
+
+
 # Scaling.
 
 
@@ -563,6 +574,16 @@ def mann_whitney_u(spark, d):
     return rounded(stats.mann_whitney(ranked(spark, d, True), ["test"]), "z")
 
 
+HALVES = RANKS.replace(LABELS, ", l AS (SELECT n_name AS sample, CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END AS label FROM nation)")
+
+
+@query(HALVES + " SELECT a.test, CAST(a.r - a.n * (a.n + 1) / 2.0 AS DOUBLE) AS u, round((greatest(a.r - a.n * (a.n + 1) / 2.0, a.n * b.n - (a.r - a.n * (a.n + 1) / 2.0)) - a.n * b.n / 2.0 - 0.5) / sqrt(a.n * b.n / 12.0 * (t + 1 - tie / (t * (t - 1)))), 6) AS z FROM rs a JOIN rs b ON a.test = b.test AND a.grp < b.grp JOIN wt ON wt.test = a.test")
+def mann_whitney_parity(spark, d):
+    halves = inputs.table(spark, d, "nation").select(F.col("n_name").alias("sample"), F.when(F.col("n_nationkey") % 2 == 0, "even").otherwise("odd").alias("grp"))
+    v = h0(spark, d).join(halves, "sample").select(F.concat(F.lit("S_"), "signature").alias("test"), "grp", "sample", F.round("weight", 6).alias("value"))
+    return rounded(stats.mann_whitney(stats.average_ranks(v, ["test"]), ["test"]), "z")
+
+
 KW = " SELECT rs.test, round((12 / (any_value(t) * (any_value(t) + 1)) * sum(r * r / n) - 3 * (any_value(t) + 1)) / (1 - any_value(tie) / (any_value(t) * any_value(t) * any_value(t) - any_value(t))), 6) AS h, count(*) - 1 AS df FROM rs JOIN wt USING (test) GROUP BY rs.test"
 
 

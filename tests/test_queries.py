@@ -36,6 +36,18 @@ def test_against_sql(spark, sf_dir, duck, name):
     assert plain([tuple(r) for r in got.collect()], got.columns) == plain(want.fetchall(), want.columns)
 
 
+@pytest.mark.parametrize("name", ["matrix_pivot_whole", "matrix_unpivot_whole", "mann_whitney_parity"])
+def test_whole_matrices_against_sql(spark, sf_dir, duck, name):
+    test_against_sql(spark, sf_dir, duck, name)
+
+
+def test_no_sample_is_left_out(spark, sf_dir):
+    whole = registry.queries()["matrix_build_m1"](spark, sf_dir)
+    samples = {r["sample"] for r in whole.select("sample").distinct().collect()}
+    assert len(samples) == 25 and set(registry.queries()["matrix_pivot_whole"](spark, sf_dir).columns) == samples | {"feature"}
+    assert registry.queries()["matrix_unpivot_whole"](spark, sf_dir).count() == whole.count()
+
+
 def test_validate_rejects(spark):
     for rows in ([("a", "x", 1.0), ("b", "x", 1.0)], [("a", "x", 1.0), ("b", "y", -1.0)], [("a", "x", 1.0), ("b", "y", float("nan"))]):
         with pytest.raises(ValueError):
