@@ -25,6 +25,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -78,6 +79,29 @@ def symbol(c: str) -> str:
 
 
 CLASSES = str.maketrans({chr(i): symbol(chr(i)) for i in range(128)})
+#: The same by code, with 32 for blanks and 127 for all that isn't ASCII, of which no candidate has any.
+_CODES = np.array([32 if chr(i).isspace() else ord(symbol(chr(i))) for i in range(127)] + [127] * 2, np.uint8)
+_WIDE_BLANKS = np.array([i for i in range(128, 0x3001) if chr(i).isspace()], np.uint32)
+
+
+def digrams(texts: list[str]) -> np.ndarray:
+    """How often each pair of classes follows one another in the texts' words, as 128 * first + second; a word's edge is 32."""
+    points = np.frombuffer(" ".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = _CODES[np.minimum(points, 128)]
+    far = np.flatnonzero(codes == 127)
+    codes[far[np.isin(points[far], _WIDE_BLANKS)]] = 32
+    pairs = np.bincount(codes[:-1].astype(np.int64) * 128 + codes[1:], minlength=128 * 128)
+    pairs[32 * 128 + 32] = 0
+    return pairs
+
+
+def outside(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with a blank for each of the rules' spans."""
+    parts, at = [], 0
+    for start, _, end in spans:
+        parts.append(text[at : max(at, start)])
+        at = max(at, end)
+    return " ".join([*parts, text[at:]])
 
 
 class Automaton:
@@ -191,11 +215,22 @@ class Formats:
     """The learned automata by kind, and the background model."""
 
     def __init__(self, credentials: dict[str, Counter[str]], ordinary: Counter[str]) -> None:
-        self.tables = {k: Automaton(c).table() for k, c in sorted(credentials.items()) if c}
+        """credentials: strings of classes by kind; ordinary: words of classes with their counts."""
         pairs: Counter[str] = Counter()
         for word, count in ordinary.items():
             for a, b in zip("^" + word, word + "$", strict=True):
                 pairs[a + b] += count
+        self._fit(credentials, pairs)
+
+    @classmethod
+    def of_digrams(cls, credentials: dict[str, Counter[str]], pairs: Counter[str]) -> Formats:
+        """From counts of digrams, ``^`` before and ``$`` after each word, in place of words."""
+        made = cls.__new__(cls)
+        made._fit(credentials, pairs)
+        return made
+
+    def _fit(self, credentials: dict[str, Counter[str]], pairs: Counter[str]) -> None:
+        self.tables = {k: Automaton(c).table() for k, c in sorted(credentials.items()) if c}
         singles: Counter[str] = Counter()
         for pair, count in pairs.items():
             singles[pair[0]] += count
@@ -236,8 +271,10 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = SAMPLE_CREDENTIALS) -> Formats:
     """Fit the automata on the rules' matches in about ``sample_docs`` documents.
 
-    What comes to the driver is bounded: at most ``most`` credentials of a kind
-    (by least hash, whatever the corpus) and counts of ordinary tokens' classes.
+    What comes to the driver is bounded in rows: at most ``most`` whole
+    credentials of a kind (by least hash, whatever the corpus), and the counts of
+    digrams of all words outside the rules' spans, of which there are at most as
+    many as pairs of ASCII classes.
     """
     total = docs.count()
     share = min(1.0, sample_docs / max(total, 1))
@@ -247,20 +284,30 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = SAMPLE_CR
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[tuple[str, str]] = Counter()
+        pairs = np.zeros(128 * 128, np.int64)
+        size = 0
         for batch in batches:
+            ordinary: list[str] = []
+            held = 0
             for text in batch.column(0).to_pylist():
                 spans = rule_spans(text)
                 for start, kind, end in spans:
-                    counts[KINDS[kind], credential(text, start, kind, end)[:200]] += 1
-                for s, e in candidates(text):
-                    if not any(a < e and s < b for a, _, b in spans):
-                        counts["", text[s:e].translate(CLASSES)] += 1
-                for word in text[:2000].split():
-                    if 6 <= len(word) <= 40:
-                        counts["", word.translate(CLASSES)] += 1
-                if len(counts) > 200_000:
+                    word = credential(text, start, kind, end)
+                    counts[KINDS[kind], word] += 1
+                    size += len(word)
+                ordinary.append(outside(text, spans) if spans else text)
+                held += len(text)
+                if held > 1 << 20:
+                    pairs += digrams(ordinary)
+                    ordinary, held = [], 0
+                if len(counts) > 200_000 or size > 1 << 24:
                     yield packed(counts)
                     counts.clear()
+                    size = 0
+            pairs += digrams(ordinary)
+        for k in np.flatnonzero(pairs).tolist():
+            a, b = divmod(k, 128)
+            counts["", ("^" if a == 32 else chr(a)) + ("$" if b == 32 else chr(b))] += int(pairs[k])
         yield packed(counts)
 
     def packed(counts: Counter[tuple[str, str]]) -> pa.RecordBatch:
@@ -269,15 +316,12 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = SAMPLE_CR
         )
 
     summed = cut(chosen.mapInArrow(found, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")))
+    pairs = Counter({r["word"]: r["n"] for r in summed.where("kind = ''").collect()})
     credentials: dict[str, Counter[str]] = {}
-    for kind in ("", *KINDS):
+    for kind in KINDS:
         rows = summed.where(F.col("kind") == kind).orderBy(F.xxhash64("word"), "word").limit(most).collect()
-        tally: Counter[str] = Counter()
-        for r in rows:
-            tally[r["word"].translate(CLASSES)] += r["n"] if kind == "" else 1
-        credentials[kind] = tally
-    ordinary = credentials.pop("")
-    return Formats(credentials, ordinary)
+        credentials[kind] = Counter(r["word"].translate(CLASSES) for r in rows)
+    return Formats.of_digrams(credentials, pairs)
 
 
 def all_spans(text: str, formats: Formats, least_bits: float = LEAST_BITS) -> tuple[list[tuple[int, int, int]], list[tuple[int, str, int]]]:

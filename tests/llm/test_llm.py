@@ -357,6 +357,20 @@ def test_long_runs_are_candidates(spark):
     assert clean["text"] == "see [secret]."
 
 
+def test_background_is_that_of_whole_texts(spark, monkeypatch):
+    key = "Zq7" * 100
+    rows = [(1, prose(1, 600) + "\n" + "X-Y\u3000éa x\x1cy " * 500), (2, f"a secret={key} b"), (3, None), (4, "")]
+    seen = {}
+    monkeypatch.setattr(secrets.Formats, "of_digrams", classmethod(lambda cls, credentials, pairs: seen.update(credentials=credentials, pairs=pairs)))
+    secrets.learn(spark.createDataFrame(rows, "doc_id long, text string"), most=1)
+    want = collections.Counter()
+    for word in [*rows[0][1].split(), "a", "b"]:
+        word = "".join(c if c.isascii() else "\x7f" for c in word.translate(secrets.CLASSES))
+        want.update(a + b for a, b in zip("^" + word, word + "$", strict=True))
+    assert seen["pairs"] == want and seen["pairs"]["Z-"] == 500
+    assert seen["credentials"]["assign"] == {key.translate(secrets.CLASSES): 1}
+
+
 def test_pipeline_stages(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "near-duplicate removal", "secret scan", "source mix", "BPE encoding"]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
