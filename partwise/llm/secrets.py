@@ -1,20 +1,22 @@
 """Secret scans: three plain rules, and formats learned by grammar inference.
 
-The rules give spans (kind, start, end) in code points.  Their matches in a
-bounded sample of documents are labelled credentials, the label being the kind.
+The rules give spans (kind, start, end) in code points.  Their matches in all
+documents are labelled credentials, the label being the kind; of each kind a
+bounded sample is learned from.
 For each kind the credentials' prefix tree is reduced to a probabilistic
 deterministic automaton by state merging (Alergia: Carrasco and Oncina 1994):
 two states merge if the Hoeffding bound tells neither their ends nor their next
 symbols apart, and the same holds for all states that the merge folds together.
-A background model, digram frequencies of character classes in other tokens of
-the sample, says how likely the same token is in ordinary text.  Every
+A background model, digram frequencies of character classes in all other words,
+says how likely the same token is in ordinary text.  Every
 candidate token of every text is then scored by its log-likelihood ratio, bits a
 symbol; the best kind's candidates over ``LEAST_BITS`` become spans of kind
 ``like_<kind>``.  Spans that the rules found stay as they are; a learned span
 never overlaps one.
 
 Only the automata, a few thousand numbers whatever the corpus, go to the
-executors.  The scan is one pass without a shuffle.
+executors.  Learning reads the documents once, and the scan is another pass
+without a shuffle.
 """
 
 from __future__ import annotations
@@ -42,8 +44,6 @@ TRIGGERS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 #: Learned candidates: whole runs of these characters, with a digit and a letter, from this length on.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
-#: About so many documents are read for labelled credentials, chosen by a hash of their ids.
-SAMPLE_DOCS = 20_000
 #: At most so many distinct credentials of a kind are learned from, those of least hash.
 SAMPLE_CREDENTIALS = 2_000
 ALPHA = 0.01
@@ -268,19 +268,15 @@ def candidates(text: str) -> Iterator[tuple[int, int]]:
             yield m.start(), m.end()
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = SAMPLE_CREDENTIALS) -> Formats:
-    """Fit the automata on the rules' matches in about ``sample_docs`` documents.
+def learn(docs: DataFrame, most: int = SAMPLE_CREDENTIALS) -> Formats:
+    """Fit the automata on the rules' matches in all documents.
 
     What comes to the driver is bounded in rows: at most ``most`` whole
     credentials of a kind (by least hash, whatever the corpus), and the counts of
     digrams of all words outside the rules' spans, of which there are at most as
     many as pairs of ASCII classes.
     """
-    total = docs.count()
-    share = min(1.0, sample_docs / max(total, 1))
     chosen = docs.select("text").where(F.col("text").isNotNull())
-    if share < 1:
-        chosen = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003)).select("text").where(F.col("text").isNotNull())
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[tuple[str, str]] = Counter()
