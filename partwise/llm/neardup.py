@@ -5,10 +5,11 @@ class from the start.  Each class has a sketch, ``WIDTH`` minwise values of one
 byte.  A tree of the join sends every class down from its root: a node draws,
 from its own name, the sketch positions that its records branch on, one or with
 chance 1/4 two, 1.25 = 1/0.8 on average, so that a pair at the threshold is
-expected to share a child at every level.  Nodes that are small compare all
-their records by sketch; larger ones first take out what is close to a pivot,
-then branch further.  ``TREES`` independent trees bring the chance of missing a
-pair at the threshold below one in a thousand.
+expected to share a child at every level.  After ``LEVELS`` levels a node's
+records are compared by sketch, all with all, but for pairs that links connect
+already; nodes larger than ``CHUNK`` meet pivots, and what no pivot took tightly
+is compared block by block.  No node branches deeper, since the trees share one sketch, and their
+number answers for that many levels only.
 
 The join's loose links (estimated similarity of at least ``LOOSE``) only say
 which classes to lay side by side.  Within their components links are confirmed
@@ -38,8 +39,6 @@ WIDTH = 64
 TREES = 12
 #: Levels that are walked before records meet.
 LEVELS = 3
-#: Levels at most within a task.
-DEEPEST = 12
 #: Nodes up to this size compare all their records.
 SMALL = 48
 #: Nodes and groups larger than this are split over tasks.
@@ -311,40 +310,32 @@ def estimate(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def near_in_node(rows: np.ndarray, node: int) -> tuple[np.ndarray, np.ndarray]:
-    """Loose links, spanning at least, among a node's records: pivots take what is close, the rest branches until it is small."""
-    a, b = [], []
-    todo = [(np.arange(len(rows)), np.uint64(node), 0)]
-    while todo:
-        members, name, depth = todo.pop()
-        while len(members) > SMALL:
-            close = (rows[members] == rows[members[0]]).mean(axis=1)
-            linked = close >= LOOSE
-            linked[0] = False
-            a.append(np.full(int(linked.sum()), members[0]))
-            b.append(members[linked])
-            left = members[(close < TIGHT)]
-            taken = len(members) - len(left)
-            members = left[left != members[0]]
-            if taken < 3 and depth < DEEPEST:
-                break
-        if len(members) < 2:
-            continue
-        if len(members) <= SMALL:
-            i, j = np.triu_indices(len(members), 1)
-            i, j = members[i], members[j]
-            fit = estimate(rows, i, j) >= LOOSE
-            a.append(i[fit])
-            b.append(j[fit])
+def closeness(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Share of sketch positions in which each row equals ``one``."""
+    same = np.ascontiguousarray(rows == one).view(np.uint64)
+    return ((same.sum(axis=1) * np.uint64(0x0101010101010101)) >> np.uint64(56)) / WIDTH
+
+
+def spanning(rows: np.ndarray, label: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning loose links between records ``first`` and ``second``: all pairs are compared, but for those that ``label`` or earlier links connect."""
+    label, a, b = label.copy(), [], []
+    for i in first:
+        open_ = second[label[second] != label[i]]
+        if not len(open_):
             continue
-        nodes, owner = descend(np.full(len(members), name), rows, members)
-        order = np.argsort(nodes, kind="stable")
-        nodes, owner = nodes[order], owner[order]
-        cuts = first_of_runs(nodes)
-        todo += [(owner[lo:hi], nodes[lo], depth + 1) for lo, hi in zip(cuts, cuts[1:], strict=False) if hi - lo > 1]
-    if not a:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(a), np.concatenate(b)
+        hit = open_[closeness(rows[open_], rows[i]) >= LOOSE]
+        if len(hit):
+            merged, at = np.unique(label[hit], return_index=True)
+            a += [int(i)] * len(at)
+            b += hit[at].tolist()
+            label[np.isin(label, merged)] = label[i]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def near_in_node(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning loose links among a node's records."""
+    every = np.arange(len(rows))
+    return spanning(rows, every, every, every)
 
 
 def star(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -375,7 +366,7 @@ def loose_links(nodes: DataFrame) -> DataFrame:
             fit = estimate(rows, a, b) >= LOOSE
             links = [(a[fit], b[fit])]
             for lo, n in zip(firsts[~small].tolist(), sizes[~small].tolist(), strict=True):
-                i, j = near_in_node(rows[lo : lo + n], int(node[lo].view(np.uint64)))
+                i, j = near_in_node(rows[lo : lo + n])
                 links.append((i + lo, j + lo))
             yield star(ids, np.concatenate([x for x, _ in links]), np.concatenate([y for _, y in links]))
 
@@ -383,7 +374,7 @@ def loose_links(nodes: DataFrame) -> DataFrame:
 
 
 def split_large(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Loose links of nodes too large for a task, from chunks that share pivots, and ``(node, id, sketch)`` of what no pivot took tightly."""
+    """Loose links of nodes too large for a task, from chunks that share pivots, and ``(node, id, sketch, held)`` of what no pivot took tightly, ``held`` being a pivot that it is linked to or its own id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, 2):
@@ -394,15 +385,17 @@ def split_large(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
                 pivots = lo + np.flatnonzero(first[lo:hi])
                 rest = lo + np.flatnonzero(first[lo:hi] == 0)
                 best = np.zeros(len(rest))
+                held = ids[rest].copy()
                 for p in pivots:
                     close = (rows[rest] == rows[p]).mean(axis=1)
                     hit = rest[(close >= LOOSE) & (ids[rest] != ids[p])]
                     best = np.maximum(best, close)
+                    held = np.where((close >= LOOSE) & (held == ids[rest]), ids[p], held)
                     if len(hit):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), ids[p])), pa.array(ids[hit]), pa.array(np.zeros(len(hit), np.int64)), pa.array([b""] * len(hit), pa.binary())], names=["a", "b", "node", "sketch"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), ids[p])), pa.array(ids[hit]), pa.array(np.zeros(len(hit), np.int64)), pa.array(ids[hit]), pa.array([b""] * len(hit), pa.binary())], names=["a", "b", "node", "held", "sketch"])
                 far = rest[best < TIGHT]
                 if len(far):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[far]), pa.array(node[far]), table.column(4).take(pa.array(far)).combine_chunks()], names=["a", "b", "node", "sketch"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[far]), pa.array(node[far]), pa.array(held[best < TIGHT]), table.column(4).take(pa.array(far)).combine_chunks()], names=["a", "b", "node", "held", "sketch"])
 
     by = Window.partitionBy("node").orderBy("h")
     sample = nodes.withColumn("h", F.xxhash64("id", "node")).where(F.pmod(F.col("h"), F.col("n")) < 8 * PIVOTS)
@@ -411,27 +404,49 @@ def split_large(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     laid = nodes.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("m"))).withColumn("first", F.lit(0))
     names = ["node", "chunk", "first", "id", "sketch"]
     dealt = laid.select(*names).unionByName(many.select(*names)).repartition("node", "chunk").sortWithinPartitions("node", "chunk")
-    out = cut(dealt.mapInArrow(run, "a long, b long, node long, sketch binary"))
-    return out.where("a <> b").select("a", "b"), out.where("a = b").select("node", F.col("a").alias("id"), "sketch")
+    out = cut(dealt.mapInArrow(run, "a long, b long, node long, held long, sketch binary"))
+    return out.where("a <> b").select("a", "b"), out.where("a = b").select("node", F.col("a").alias("id"), "sketch", "held")
+
+
+def block_links(nodes: DataFrame) -> DataFrame:
+    """``(a, b)``: spanning loose links of nodes ``(node, id, sketch, held, m)``, dealt to ``m`` blocks of which each meets itself and every other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, 3):
+            node, low, high, block, ids = (table.column(k).to_numpy() for k in range(5))
+            rows, held = matrix(table.column(6).combine_chunks()), table.column(5).to_numpy()
+            cuts = first_of_runs(node, low, high)
+            for lo, hi in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+                part, own = rows[lo:hi], block[lo:hi]
+                a, b = spanning(part, held[lo:hi], np.flatnonzero(own == low[lo]), np.flatnonzero(own == high[lo]))
+                yield star(ids[lo:hi], a, b)
+
+    dealt = nodes.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("m"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).select("node", "low", "high", "block", "id", "held", "sketch")
+    key = ["node", "low", "high"]
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Loose links of all classes ``(id, sketch)``: trees are walked, and nodes too large for a task are split and walked on."""
-    nodes = branch(classes, LEVELS)
-    links = None
-    for turn in range(4):
-        nodes = cut(nodes) if turn else nodes
+    """Loose links of all classes ``(id, sketch)``: trees are walked, nodes too large for a task meet pivots, and what those leave is compared in full."""
+
+    def counted(nodes: DataFrame) -> DataFrame:
         sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
-        large = cut(sizes.withColumn("m", F.ceil(F.col("n") / CHUNK)))
-        if large.isEmpty():
-            found = loose_links(nodes)
-            return found if links is None else links.unionByName(found)
-        found = loose_links(nodes.join(F.broadcast(large.select("node")) if large.count() < 10_000 else large.select("node"), "node", "left_anti"))
-        more, rest = split_large(nodes.join(large, "node"))
-        found = found.unionByName(more)
-        links = found if links is None else links.unionByName(found)
-        nodes = branch(rest, 2)
-    return links.unionByName(loose_links(nodes))
+        return cut(sizes.withColumn("m", F.ceil(F.col("n") / CHUNK)))
+
+    def others(nodes: DataFrame, large: DataFrame) -> DataFrame:
+        return loose_links(nodes.join(F.broadcast(large.select("node")) if large.count() < 10_000 else large.select("node"), "node", "left_anti"))
+
+    nodes = branch(classes, LEVELS)
+    large = counted(nodes)
+    if large.isEmpty():
+        return loose_links(nodes)
+    links, rest = split_large(nodes.join(large, "node"))
+    links = links.unionByName(others(nodes, large))
+    still = counted(rest)
+    if still.isEmpty():
+        return links.unionByName(loose_links(rest.drop("held")))
+    return links.unionByName(others(rest.drop("held"), still)).unionByName(block_links(rest.join(still, "node")))
 
 
 def linked(a: np.ndarray, b: np.ndarray, least: int = 80) -> bool:

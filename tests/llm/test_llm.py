@@ -108,6 +108,44 @@ def test_many_near_copies_in_chunks(spark, monkeypatch):
     assert got == root
 
 
+def family(n: int) -> np.ndarray:
+    """Sketches that agree in about half their places, boilerplate, and pairs of them, k and n + k, that agree in 51 of 64."""
+    rng = np.random.default_rng(8)
+    rows = rng.integers(0, 256, (n, neardup.WIDTH)).astype(np.uint8)
+    rows = np.where(rng.random(rows.shape) < 0.7, rng.integers(0, 256, neardup.WIDTH).astype(np.uint8), rows)
+    twins = rows.copy()
+    for k in range(n):
+        twins[k, rng.permutation(neardup.WIDTH)[:13]] ^= 255
+    return np.concatenate([rows, twins])
+
+
+def test_no_pair_of_a_boilerplate_family_is_missed_in_a_node():
+    n = 400
+    rows = family(n)
+    a, b = neardup.near_in_node(rows)
+    label = neardup.settle(2 * n, a, b)
+    assert (label[:n] == label[n:]).all()
+
+
+def test_large_nodes_are_compared_in_full(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "CHUNK", 40)
+    n = 300
+    rows = family(n)
+    frame = spark.createDataFrame([(k, bytearray(r.tobytes())) for k, r in enumerate(rows)], "id long, sketch binary")
+    met = np.zeros(n, bool)
+    for t in range(neardup.TREES):
+        nodes, owner = np.full(2 * n, neardup.mix64(np.array([t + 1], np.uint64))[0]), np.arange(2 * n)
+        for _ in range(neardup.LEVELS):
+            nodes, owner = neardup.descend(nodes, rows, owner)
+        at = collections.defaultdict(set)
+        for node, who in zip(nodes.tolist(), owner.tolist(), strict=True):
+            at[who].add(node)
+        met |= np.array([bool(at[k] & at[n + k]) for k in range(n)])
+    links = neardup.candidates(frame).collect()
+    label = neardup.settle(2 * n, np.array([r["a"] for r in links]), np.array([r["b"] for r in links]))
+    assert met.mean() > 0.99 and (label[:n] == label[n:])[met].all()
+
+
 def test_word_hashes_do_not_depend_on_slices(monkeypatch):
     import pyarrow as pa
 
