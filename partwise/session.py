@@ -35,7 +35,9 @@ def build_session(app: str = "partwise", cores: int | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor and the driver see (``spark.checkpoint.dir``).
 
-    Only where the cluster names none, as in tests, a temporary one is set.
+    Only in a local session that names none, as in tests, a temporary one is set;
+    on a cluster a missing name is an error, since executors don't share the
+    driver's folders.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
@@ -45,6 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     held = context._jsc.sc().getCheckpointDir()
     if held.isEmpty():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="partwise-checkpoint-"))
         held = context._jsc.sc().getCheckpointDir()
     return held.get()
@@ -54,16 +58,35 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files, which outlive any executor.
 
     The plan that made it is forgotten, its inferred constraints included, and
-    the size of the files is known to the planner.  They go when the
-    application ends.
+    the size of the files is known to the planner.  They go when ``discard`` is
+    told so, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    place, system = _place(spark, path)
+    system.deleteOnExit(place)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+def _place(spark: SparkSession, path: str):
+    """A path and its file system."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark can write."""
+    place, system = _place(spark, path)
+    system.delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``cut`` wrote, once nothing will read them any more."""
+    for table in tables:
+        remove(table.sparkSession, table._cut_path)
 
 
 def release(spark: SparkSession) -> None:
