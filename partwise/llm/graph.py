@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partwise.session import cut
+from partwise.session import cut, discard
 
 MOST_ROUNDS = 60
 
@@ -29,12 +29,16 @@ def components(edges: DataFrame) -> DataFrame:
         own = F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), F.col("a").alias("to"))
         goal = cut(goal.select(F.col("a").alias("v"), F.least(own, F.col("least"))["to"].alias("to")))
         if labels is None:
-            labels = goal.select(F.col("v").alias("id"), F.col("to").alias("root"))
+            labels = cut(goal.select(F.col("v").alias("id"), F.col("to").alias("root")))
         else:
             step = goal.select(F.col("v").alias("root"), "to")
+            older = labels
             labels = cut(labels.join(step, "root", "left").select("id", F.coalesce("to", "root").alias("root")))
+            discard(older)
         ends = both.join(goal.select(F.col("v").alias("a"), F.col("to").alias("x")), "a").join(goal.select(F.col("v").alias("b"), F.col("to").alias("y")), "b")
+        older = both
         both = cut(ends.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        discard(older, goal)
     else:
         raise RuntimeError(f"components did not settle within {MOST_ROUNDS} rounds")
     if labels is None:

@@ -1,15 +1,22 @@
 """Near-duplicate documents: Chosen Path set similarity join (Christiani and Pagh 2017; CPSJoin 2018).
 
 A document is the set of its word shingles.  Documents with equal sets are one
-class from the start.  Each class has a sketch, ``WIDTH`` minwise values of one
-byte.  A tree of the join sends every class down from its root: a node draws,
-from its own name, the sketch positions that its records branch on, one or with
-chance 1/4 two, 1.25 = 1/0.8 on average, so that a pair at the threshold is
-expected to share a child at every level.  After ``LEVELS`` levels a node's
-records are compared by sketch, all with all, but for pairs that links connect
-already; nodes larger than ``CHUNK`` meet pivots, and what no pivot took tightly
-is compared block by block.  No node branches deeper, since the trees share one sketch, and their
-number answers for that many levels only.
+class from the start.  A tree of the join sends every class down from its root:
+a node draws, from its own name, the minwise values that its records branch on,
+one or with chance 1/4 two, 1.25 = 1/0.8 on average, so that a pair at the
+threshold is expected to share a child at every level.  The ``TREES`` trees are
+independent: each has minwise values of its own, whole ones, at each of the
+first ``LEVELS`` levels.  After these a node's records are compared by sketch,
+all with all, but for pairs that links connect already.
+
+A sketch has four bits of each of ``WIDTH`` further minwise values.  Nodes larger
+than ``CHUNK`` first meet pivots, which link what is like them; a node that this
+connects is done, and records that a pivot took tightly are, too.  The rest
+branches ``DEEPER`` levels on, by values of the sketch that the node's name
+draws, for up to ``TURNS`` turns; what is large even then is compared in full,
+block by block.  With twelve trees a pair at the threshold is missed by branching
+alone with a chance of 0.000004 at 3 levels, 0.0001 at 5, 0.001 at 7 and 0.007 at
+11, the deepest.
 
 The join's loose links (estimated similarity of at least ``LOOSE``) only say
 which classes to lay side by side.  Within their components links are confirmed
@@ -20,6 +27,9 @@ Groups larger than ``CHUNK`` are proved in chunks that share pivots; members
 that don't come out in the group's largest component are then compared with all
 of the group, block by block.  Nothing is dropped, and no step holds more than
 two chunks of sets in a task.
+
+Words, and the shingles made of them, are known by 64-bit hashes, equal sets by
+their size and 128 bits more.
 """
 
 from __future__ import annotations
@@ -28,27 +38,37 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partwise.llm.common import mix64
+from partwise.llm.common import mix64, small
 from partwise.llm.graph import components
-from partwise.session import cut
+from partwise.session import cut, discard
 
-WIDTH = 64
+#: Minwise values in a sketch, of which it has four bits each.
+WIDTH = 128
 TREES = 12
 #: Levels that are walked before records meet.
 LEVELS = 3
+#: Levels that a node too large for a task walks at a turn, and such turns.
+DEEPER = 2
+TURNS = 4
 #: Nodes up to this size compare all their records.
 SMALL = 48
 #: Nodes and groups larger than this are split over tasks.
 CHUNK = 1_500
 PIVOTS = 6
-LOOSE = 0.58
+LOOSE = 0.65
 #: Estimated similarity from which a record that a pivot took needn't meet others: the threshold and a margin.
-TIGHT = 0.88
+TIGHT = 0.9
 #: Bytes hashed at a time.
 SLICE = 1 << 20
+#: Words longer than this are hashed by xxh3: polynomials modulo 2^64 collide on long words of a known form.
+LONG_WORD = 64
+
+#: A record in a node; records with the same ``held`` are connected already.
+NODE = ["node", "id", "held", "sketch"]
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -97,7 +117,10 @@ def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if len(s):
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((_LOWER[part] + np.uint64(1)) * _table("up", _BASE, len(part)), dtype=np.uint64)])
             starts.append(s + at)
-            hashes.append(mix64((sums[e] - sums[s]) * _table("down", pow(_BASE, -1, 1 << 64), len(part))[s]))
+            own = mix64((sums[e] - sums[s]) * _table("down", pow(_BASE, -1, 1 << 64), len(part))[s])
+            for k in np.flatnonzero(e - s > LONG_WORD).tolist():
+                own[k] = xxhash.xxh3_64_intdigest(_LOWER[part[s[k] : e[k]]].astype(np.uint8).tobytes())
+            hashes.append(own)
         at = end
     if not starts:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -147,44 +170,79 @@ def shingle_sets(column: pa.Array, length: int = 2) -> list[np.ndarray]:
     return out
 
 
-def _coefficients() -> tuple[np.ndarray, np.ndarray]:
-    a = mix64(np.arange(1, WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
-    return a, mix64(np.arange(1001, 1001 + WIDTH, dtype=np.uint64))
+def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
+    a = mix64(np.arange(1, n + 1, dtype=np.uint64)) | np.uint64(1)
+    return a, mix64(np.arange(100_001, 100_001 + n, dtype=np.uint64))
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """One byte of each of ``WIDTH`` minwise values, a row a set; empty sets have zeros."""
-    out = np.zeros((len(sets), WIDTH), np.uint8)
+def minwise(sets: list[np.ndarray]) -> Iterator[tuple[list[int], Iterator[np.ndarray]]]:
+    """For runs of the sets that aren't empty: which they are, and their minwise values, those of the sketch and then those of the trees."""
     full = [k for k, s in enumerate(sets) if len(s)]
-    a, b = _coefficients()
+    a, b = _coefficients(WIDTH + 2 * LEVELS * TREES)
     at = 0
     while at < len(full):
         stop, size = at, 0
-        while stop < len(full) and (stop == at or size + len(sets[full[stop]]) < 1 << 16):
+        while stop < len(full) and (stop == at or size + len(sets[full[stop]]) < 1 << 15):
             size += len(sets[full[stop]])
             stop += 1
         flat = np.concatenate([sets[k] for k in full[at:stop]])
         firsts = np.concatenate([[0], np.cumsum([len(sets[k]) for k in full[at:stop]])[:-1]])
         scratch = np.empty_like(flat)
-        for j in range(WIDTH):
-            np.multiply(flat, a[j], out=scratch)
-            scratch += b[j]
-            out[full[at:stop], j] = mix64(np.minimum.reduceat(scratch, firsts)) & np.uint64(0xFF)
+
+        def values(flat=flat, firsts=firsts, scratch=scratch) -> Iterator[np.ndarray]:
+            for j in range(len(a)):
+                np.multiply(flat, a[j], out=scratch)
+                scratch += b[j]
+                yield mix64(np.minimum.reduceat(scratch, firsts))
+
+        yield full[at:stop], values()
         at = stop
-    return out
+
+
+def branched(nodes: np.ndarray, owner: np.ndarray, values: list[np.ndarray], salts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """One level: the children of (node, record) pairs by one value or two, and the record of each.  A node's draw depends on its name alone."""
+    two = (mix64(nodes) >> np.uint64(56)) < 64
+    out_nodes, out_owner = [], []
+    for value, salt, chosen in zip(values, salts, (np.ones(len(nodes), bool), two), strict=True):
+        out_nodes.append(mix64(mix64(nodes[chosen] * _PAIR + salt[chosen]) ^ value[chosen]))
+        out_owner.append(owner[chosen])
+    return np.concatenate(out_nodes), np.concatenate(out_owner)
+
+
+def sketched(sets: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sketches, a row of bytes a set, and the nodes that each set reaches in all trees; empty sets have zeros and none."""
+    rows = np.zeros((len(sets), WIDTH // 2), np.uint8)
+    nodes: list[np.ndarray] = [np.empty(0, np.uint64)] * len(sets)
+    for which, values in minwise(sets):
+        parts = np.stack([next(values) & np.uint64(15) for _ in range(WIDTH)], axis=1).astype(np.uint8)
+        rows[which] = parts[:, ::2] | (parts[:, 1::2] << 4)
+        reached, owners = [], []
+        for t in range(TREES):
+            at, owner = np.full(len(which), mix64(np.array([t + 1], np.uint64))[0]), np.arange(len(which))
+            for _ in range(LEVELS):
+                one, other = next(values), next(values)
+                at, owner = branched(at, owner, [one[owner], other[owner]], [np.zeros(len(at), np.uint64), np.ones(len(at), np.uint64)])
+            reached.append(at)
+            owners.append(owner)
+        flat, owner = np.concatenate(reached), np.concatenate(owners)
+        order = np.argsort(owner, kind="stable")
+        for k, own in zip(which, np.split(flat[order], np.cumsum(np.bincount(owner, minlength=len(which)))[:-1]), strict=True):
+            nodes[k] = own
+    return rows, nodes
 
 
 def described(docs: DataFrame, length: int = 2) -> DataFrame:
-    """``doc_id, n_shingles, f1, f2, sketch``: the set's size, two 64-bit digests of it, and its sketch."""
+    """``doc_id, n_shingles, f1, f2, sketch, nodes``: the set's size, two 64-bit digests of it, its sketch, and its nodes in all trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 sets = shingle_sets(part.column(1), length)
-                rows = sketches(sets)
+                rows, nodes = sketched(sets)
                 f1 = [int(mix64(s).sum(dtype=np.uint64)) if len(s) else 0 for s in sets]
                 f2 = [int(np.bitwise_xor.reduce(s * _PAIR)) if len(s) else 0 for s in sets]
+                offsets = np.concatenate([[0], np.cumsum([len(n) for n in nodes])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -192,54 +250,48 @@ def described(docs: DataFrame, length: int = 2) -> DataFrame:
                         pa.array(np.array(f1, np.uint64).view(np.int64)),
                         pa.array(np.array(f2, np.uint64).view(np.int64)),
                         pa.array([r.tobytes() for r in rows], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.uint64), *nodes]).view(np.int64))),
                     ],
-                    names=["doc_id", "n_shingles", "f1", "f2", "sketch"],
+                    names=["doc_id", "n_shingles", "f1", "f2", "sketch", "nodes"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sketch binary, nodes array<long>")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    """Sketches as rows of bytes."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), WIDTH)
+    """Sketches as rows of their values."""
+    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), WIDTH // 2)
+    out = np.empty((len(column), WIDTH), np.uint8)
+    out[:, ::2], out[:, 1::2] = packed & 15, packed >> 4
+    return out
+
+
+def share(similarity: float) -> float:
+    """The share of equal values in the sketches of sets that are so similar; four bits agree by chance in a sixteenth of the rest."""
+    return 1 / 16 + similarity * 15 / 16
 
 
 def descend(nodes: np.ndarray, rows: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One level: the children of (node, record) pairs, and the record of each.  A node's draw depends on its name alone."""
-    draw = mix64(nodes)
-    two = (draw >> np.uint64(56)) < 64
-    out_nodes, out_owner = [], []
-    for shift, chosen in ((0, np.ones(len(nodes), bool)), (20, two)):
-        pick = ((draw[chosen] >> np.uint64(shift)) % np.uint64(WIDTH)).astype(np.int64)
-        who = owner[chosen]
-        value = rows[who, pick].astype(np.uint64)
-        out_nodes.append(mix64(nodes[chosen] * _PAIR + (np.uint64(shift) << np.uint64(32)) + (pick.astype(np.uint64) << np.uint64(8)) + value))
-        out_owner.append(who)
-    return np.concatenate(out_nodes), np.concatenate(out_owner)
+    """One level below the first ones, by values of the sketch that the node's name draws."""
+    draw = mix64(nodes ^ np.uint64(0x5851F42D4C957F2D))
+    picks = [((draw >> np.uint64(shift)) % np.uint64(WIDTH)).astype(np.int64) for shift in (0, 20)]
+    return branched(nodes, owner, [rows[owner, p].astype(np.uint64) for p in picks], [p.astype(np.uint64) + np.uint64(2 + k * WIDTH) for k, p in enumerate(picks)])
 
 
-def branch(classes: DataFrame, levels: int, trees: int = TREES) -> DataFrame:
-    """``(node, id, sketch)`` for every node that a class reaches; ``classes`` has ``id, sketch`` and, below the root, ``node``."""
-    below = "node" in classes.columns
+def deeper(nodes: DataFrame, levels: int) -> DataFrame:
+    """``(node, id, held, sketch)`` so many levels below ``(node, id, held, sketch)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows, ids = matrix(batch.column(1)), batch.column(0)
-            if below:
-                starts = [batch.column(2).to_numpy().view(np.uint64)]
-            else:
-                starts = [np.full(len(rows), mix64(np.array([t + 1], np.uint64))[0]) for t in range(trees)]
-            for start in starts:
-                nodes, owner = start, np.arange(len(rows))
-                for _ in range(levels):
-                    nodes, owner = descend(nodes, rows, owner)
-                take = pa.array(owner)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), ids.take(take), batch.column(1).take(take)], names=["node", "id", "sketch"])
+            rows, at, owner = matrix(batch.column(3)), batch.column(0).to_numpy().view(np.uint64), np.arange(batch.num_rows)
+            for _ in range(levels):
+                at, owner = descend(at, rows, owner)
+            take = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), *[batch.column(k).take(take) for k in (1, 2, 3)]], names=NODE)
 
-    columns = ["id", "sketch", *(["node"] if below else [])]
-    return classes.select(*columns).mapInArrow(run, "node long, id long, sketch binary")
+    return nodes.select(*NODE).mapInArrow(run, "node long, id long, held long, sketch binary")
 
 
 def grouped(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -302,16 +354,16 @@ def all_pairs(sizes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def estimate(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Share of equal sketch positions of pairs."""
+    """Share of equal sketch values of pairs."""
     out = np.empty(len(a))
-    for at in range(0, len(a), 1 << 16):
-        part = slice(at, at + (1 << 16))
+    for at in range(0, len(a), 1 << 15):
+        part = slice(at, at + (1 << 15))
         out[part] = (rows[a[part]] == rows[b[part]]).mean(axis=1)
     return out
 
 
 def closeness(rows: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Share of sketch positions in which each row equals ``one``."""
+    """Share of sketch values in which each row equals ``one``."""
     same = np.ascontiguousarray(rows == one).view(np.uint64)
     return ((same.sum(axis=1) * np.uint64(0x0101010101010101)) >> np.uint64(56)) / WIDTH
 
@@ -323,7 +375,7 @@ def spanning(rows: np.ndarray, label: np.ndarray, first: np.ndarray, second: np.
         open_ = second[label[second] != label[i]]
         if not len(open_):
             continue
-        hit = open_[closeness(rows[open_], rows[i]) >= LOOSE]
+        hit = open_[closeness(rows[open_], rows[i]) >= share(LOOSE)]
         if len(hit):
             merged, at = np.unique(label[hit], return_index=True)
             a += [int(i)] * len(at)
@@ -332,12 +384,6 @@ def spanning(rows: np.ndarray, label: np.ndarray, first: np.ndarray, second: np.
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def near_in_node(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning loose links among a node's records."""
-    every = np.arange(len(rows))
-    return spanning(rows, every, every, every)
-
-
 def star(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     """Links among records as one link from each to the first of its component."""
     label = settle(len(ids), a, b)
@@ -346,75 +392,81 @@ def star(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def loose_links(nodes: DataFrame) -> DataFrame:
-    """``(a, b)``: spanning loose links of each node that fits a task.  ``nodes``: ``node, id, sketch``."""
+    """``(a, b)``: spanning loose links of each node that fits a task.
+
+    ``nodes``: ``node, id, held, sketch``; records with the same ``held`` are
+    connected already.  Records come by id, so that nodes of much the same
+    records name the same centre.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, 1):
-            node, ids = table.column(0).to_numpy(), table.column(1).to_numpy()
-            cuts = first_of_runs(node)
-            sizes = np.diff(cuts)
+            node = table.column(0).to_numpy()
+            sizes = np.diff(first_of_runs(node))
             keep = np.repeat(sizes > 1, sizes)
             if not keep.any():
                 continue
-            flat = table.column(2).filter(pa.array(keep)).combine_chunks()
-            node, ids = node[keep], ids[keep]
-            rows = matrix(flat)
+            node, ids, held = node[keep], table.column(1).to_numpy()[keep], table.column(2).to_numpy()[keep]
+            rows = matrix(table.column(3).filter(pa.array(keep)).combine_chunks())
             cuts = first_of_runs(node)
             sizes, firsts = np.diff(cuts), cuts[:-1]
-            small = sizes <= SMALL
-            a, b = all_pairs(sizes[small], firsts[small])
-            fit = estimate(rows, a, b) >= LOOSE
+            tiny = sizes <= SMALL
+            a, b = all_pairs(sizes[tiny], firsts[tiny])
+            apart = held[a] != held[b]
+            a, b = a[apart], b[apart]
+            fit = estimate(rows, a, b) >= share(LOOSE)
             links = [(a[fit], b[fit])]
-            for lo, n in zip(firsts[~small].tolist(), sizes[~small].tolist(), strict=True):
-                i, j = near_in_node(rows[lo : lo + n])
+            for lo, n in zip(firsts[~tiny].tolist(), sizes[~tiny].tolist(), strict=True):
+                every = np.arange(n)
+                i, j = spanning(rows[lo : lo + n], held[lo : lo + n], every, every)
                 links.append((i + lo, j + lo))
             yield star(ids, np.concatenate([x for x, _ in links]), np.concatenate([y for _, y in links]))
 
-    return nodes.repartition("node").sortWithinPartitions("node").mapInArrow(run, "a long, b long")
+    return nodes.select(*NODE).repartition("node").sortWithinPartitions("node", "id").mapInArrow(run, "a long, b long")
 
 
 def split_large(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Loose links of nodes too large for a task, from chunks that share pivots, and ``(node, id, sketch, held)`` of what no pivot took tightly, ``held`` being a pivot that it is linked to or its own id."""
+    """Loose links of nodes too large for a task ``(node, id, held, sketch, n, m)``, from ``m`` chunks that share pivots, and ``(node, id, held, sketch)`` of what no pivot took tightly, ``held`` being a pivot that it is linked to if there is one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, 2):
-            node, chunk, first = (table.column(k).to_numpy() for k in range(3))
-            ids, rows = table.column(3).to_numpy(), matrix(table.column(4).combine_chunks())
+            node, chunk, first, ids, held = (table.column(k).to_numpy() for k in range(5))
+            rows = matrix(table.column(5).combine_chunks())
             cuts = first_of_runs(node, chunk)
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 pivots = lo + np.flatnonzero(first[lo:hi])
-                rest = lo + np.flatnonzero(first[lo:hi] == 0)
-                best = np.zeros(len(rest))
-                held = ids[rest].copy()
-                for p in pivots:
-                    close = (rows[rest] == rows[p]).mean(axis=1)
-                    hit = rest[(close >= LOOSE) & (ids[rest] != ids[p])]
-                    best = np.maximum(best, close)
-                    held = np.where((close >= LOOSE) & (held == ids[rest]), ids[p], held)
-                    if len(hit):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), ids[p])), pa.array(ids[hit]), pa.array(np.zeros(len(hit), np.int64)), pa.array(ids[hit]), pa.array([b""] * len(hit), pa.binary())], names=["a", "b", "node", "held", "sketch"])
-                far = rest[best < TIGHT]
-                if len(far):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[far]), pa.array(ids[far]), pa.array(node[far]), pa.array(held[best < TIGHT]), table.column(4).take(pa.array(far)).combine_chunks()], names=["a", "b", "node", "held", "sketch"])
-
-    by = Window.partitionBy("node").orderBy("h")
-    sample = nodes.withColumn("h", F.xxhash64("id", "node")).where(F.pmod(F.col("h"), F.col("n")) < 8 * PIVOTS)
-    pivots = sample.withColumn("r", F.row_number().over(by)).where(F.col("r") <= PIVOTS).drop("r", "h")
+                close = np.stack([closeness(rows[lo:hi], rows[p]) for p in pivots]) if len(pivots) else np.zeros((1, hi - lo))
+                p, r = np.nonzero(close[: len(pivots)] >= share(LOOSE))
+                # Pivots come first and by id, so a component's first record is its pivot of least id, the same in every chunk.
+                label = settle(hi - lo, pivots[p] - lo, r)
+                mine = ids[lo:hi]
+                tied = np.flatnonzero(mine[label] != mine)
+                now = held[lo:hi].copy()
+                now[tied] = mine[label[tied]]
+                now[: len(pivots)] = mine[label[: len(pivots)]]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(tied), pa.int64()), pa.array(mine[tied]), pa.array(mine[label[tied]]), pa.nulls(len(tied), pa.binary())], names=NODE)
+                far = np.flatnonzero((close.max(axis=0) < share(TIGHT)) & (first[lo:hi] == 0))
+                yield pa.RecordBatch.from_arrays([pa.array(node[lo + far]), pa.array(mine[far]), pa.array(now[far]), table.column(5).take(pa.array(lo + far)).combine_chunks()], names=NODE)
+
+    # By the id alone, so that nodes of much the same records have much the same pivots.
+    rank = F.xxhash64("id")
+    sample = nodes.withColumn("h", rank).where(F.col("h").cast("double") < F.lit(-(2.0**63)) + F.lit(8.0 * PIVOTS * 2.0**64) / F.col("n"))
+    pivots = sample.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("h", "id"))).where(F.col("r") <= PIVOTS)
     many = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1))).withColumn("first", F.lit(1))
-    laid = nodes.withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("m"))).withColumn("first", F.lit(0))
-    names = ["node", "chunk", "first", "id", "sketch"]
-    dealt = laid.select(*names).unionByName(many.select(*names)).repartition("node", "chunk").sortWithinPartitions("node", "chunk")
-    out = cut(dealt.mapInArrow(run, "a long, b long, node long, held long, sketch binary"))
-    return out.where("a <> b").select("a", "b"), out.where("a = b").select("node", F.col("a").alias("id"), "sketch", "held")
+    laid = nodes.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(5)), F.col("m"))).withColumn("first", F.lit(0))
+    names = ["node", "chunk", "first", "id", "held", "sketch"]
+    dealt = laid.select(*names).unionByName(many.select(*names)).repartition("node", "chunk").sortWithinPartitions("node", "chunk", F.desc("first"), "id")
+    out = cut(dealt.mapInArrow(run, "node long, id long, held long, sketch binary"))
+    return out.where("node is null").select(F.col("id").alias("a"), F.col("held").alias("b")), out.where("node is not null")
 
 
 def block_links(nodes: DataFrame) -> DataFrame:
-    """``(a, b)``: spanning loose links of nodes ``(node, id, sketch, held, m)``, dealt to ``m`` blocks of which each meets itself and every other."""
+    """``(a, b)``: spanning loose links of nodes ``(node, id, held, sketch, m)``, dealt to ``m`` blocks of which each meets itself and every other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, 3):
-            node, low, high, block, ids = (table.column(k).to_numpy() for k in range(5))
-            rows, held = matrix(table.column(6).combine_chunks()), table.column(5).to_numpy()
+            node, low, high, block, ids, held = (table.column(k).to_numpy() for k in range(6))
+            rows = matrix(table.column(6).combine_chunks())
             cuts = first_of_runs(node, low, high)
             for lo, hi in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
                 part, own = rows[lo:hi], block[lo:hi]
@@ -424,29 +476,38 @@ def block_links(nodes: DataFrame) -> DataFrame:
     dealt = nodes.withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), F.col("m"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
     dealt = dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).select("node", "low", "high", "block", "id", "held", "sketch")
     key = ["node", "low", "high"]
-    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
+    return dealt.repartition(*key).sortWithinPartitions(*key, "id").mapInArrow(run, "a long, b long")
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Loose links of all classes ``(id, sketch)``: trees are walked, nodes too large for a task meet pivots, and what those leave is compared in full."""
+    """Loose links of all classes ``(id, sketch, nodes)``: small nodes are compared in full, nodes too large for a task meet pivots and branch on."""
 
     def counted(nodes: DataFrame) -> DataFrame:
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+        """Nodes too large for a task, with their size and number of chunks; without those that are connected already."""
+        sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), (F.min("held") != F.max("held")).alias("open")).where(F.col("n") > CHUNK)
         return cut(sizes.withColumn("m", F.ceil(F.col("n") / CHUNK)))
 
-    def others(nodes: DataFrame, large: DataFrame) -> DataFrame:
-        return loose_links(nodes.join(F.broadcast(large.select("node")) if large.count() < 10_000 else large.select("node"), "node", "left_anti"))
-
-    nodes = branch(classes, LEVELS)
-    large = counted(nodes)
-    if large.isEmpty():
-        return loose_links(nodes)
-    links, rest = split_large(nodes.join(large, "node"))
-    links = links.unionByName(others(nodes, large))
-    still = counted(rest)
-    if still.isEmpty():
-        return links.unionByName(loose_links(rest.drop("held")))
-    return links.unionByName(others(rest.drop("held"), still)).unionByName(block_links(rest.join(still, "node")))
+    nodes = classes.select(F.explode("nodes").alias("node"), "id", F.col("id").alias("held"), "sketch")
+    found = []
+    for turn in range(TURNS + 1):
+        large = counted(nodes)
+        if large.isEmpty():
+            found.append(loose_links(nodes))
+            break
+        found.append(loose_links(nodes.join(small(large.select("node")), "node", "left_anti")))
+        rest = nodes.join(small(large.where("open").drop("open")), "node")
+        if turn == TURNS:
+            found.append(block_links(rest))
+            break
+        links, left = split_large(rest)
+        found.append(links)
+        # What pivots have connected as a whole has nothing left to find.
+        parted = left.groupBy("node").agg((F.min("held") != F.max("held")).alias("open")).where("open").select("node")
+        nodes = cut(deeper(left.join(parted, "node"), DEEPER))
+    links = found[0]
+    for more in found[1:]:
+        links = links.unionByName(more)
+    return links.distinct()
 
 
 def linked(a: np.ndarray, b: np.ndarray, least: int = 80) -> bool:
@@ -472,10 +533,11 @@ def prove(sets: list[np.ndarray], rows: np.ndarray, left: np.ndarray, right: np.
 
     a_out, b_out = [], []
     rounds: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    others = rows[right]
     for at in range(0, len(left), 64):
         part = left[at : at + 64]
-        close = np.stack([(rows[right] == rows[i]).mean(axis=1) for i in part])
-        i, j = np.nonzero(close >= LOOSE)
+        close = np.stack([closeness(others, rows[i]) for i in part])
+        i, j = np.nonzero(close >= share(LOOSE))
         first, second = part[i], right[j]
         fit = first != second
         rounds.append((first[fit], second[fit], close[i[fit], j[fit]]))
@@ -577,16 +639,19 @@ def near_duplicates(docs: DataFrame, length: int = 2, least: int = 80) -> DataFr
     rows = cut(described(docs, length))
     key = ["n_shingles", "f1", "f2"]
     full = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(full.groupBy(*key).agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")))
-    found = cut(candidates(classes.select("id", "sketch")))
+    first = F.first(F.struct("sketch", "nodes")).alias("first")
+    classes = cut(full.groupBy(*key).agg(F.min("doc_id").alias("id"), first).select(*key, "id", "first.*"))
+    found = cut(candidates(classes))
     loose = cut(components(found))
+    discard(found)
     links = confirmed(classes.select("id", "sketch"), docs, loose, length, least)
     exact = components(links)
-    named = classes.select(*key, "id").join(exact, "id", "left").select(*key, F.coalesce("component", "id").alias("c"))
-    out = rows.drop("sketch").join(named, key, "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("c")).otherwise(F.col("doc_id"))
-    out = out.withColumn("component_id", component)
-    return out.select("doc_id", "n_shingles", "component_id", same(F.col("doc_id"), F.col("component_id")).alias("kept"))
+    named = classes.select(*key, "id").join(exact, "id", "left").select(*key, F.coalesce("component", "id").alias("component_id"))
+    rows = rows.select("doc_id", *key)
+    # Empty sets are linked with nothing; they would all meet under one key.
+    out = rows.where("n_shingles > 0").join(named, key, "left").select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", same(F.col("doc_id"), F.col("component_id")))
 
 
 def same(a: Column, b: Column) -> Column:

@@ -108,42 +108,72 @@ def test_many_near_copies_in_chunks(spark, monkeypatch):
     assert got == root
 
 
-def family(n: int) -> np.ndarray:
-    """Sketches that agree in about half their places, boilerplate, and pairs of them, k and n + k, that agree in 51 of 64."""
+def family(n: int, common: float = 0.7) -> list[np.ndarray]:
+    """Sets of 400 that share boilerplate, and for each, k, a twin, n + k, of similarity 0.8: 356 of 444."""
     rng = np.random.default_rng(8)
-    rows = rng.integers(0, 256, (n, neardup.WIDTH)).astype(np.uint8)
-    rows = np.where(rng.random(rows.shape) < 0.7, rng.integers(0, 256, neardup.WIDTH).astype(np.uint8), rows)
-    twins = rows.copy()
-    for k in range(n):
-        twins[k, rng.permutation(neardup.WIDTH)[:13]] ^= 255
-    return np.concatenate([rows, twins])
-
-
-def test_no_pair_of_a_boilerplate_family_is_missed_in_a_node():
-    n = 400
-    rows = family(n)
-    a, b = neardup.near_in_node(rows)
-    label = neardup.settle(2 * n, a, b)
-    assert (label[:n] == label[n:]).all()
-
-
-def test_large_nodes_are_compared_in_full(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "CHUNK", 40)
-    n = 300
-    rows = family(n)
-    frame = spark.createDataFrame([(k, bytearray(r.tobytes())) for k, r in enumerate(rows)], "id long, sketch binary")
-    met = np.zeros(n, bool)
-    for t in range(neardup.TREES):
-        nodes, owner = np.full(2 * n, neardup.mix64(np.array([t + 1], np.uint64))[0]), np.arange(2 * n)
-        for _ in range(neardup.LEVELS):
-            nodes, owner = neardup.descend(nodes, rows, owner)
-        at = collections.defaultdict(set)
-        for node, who in zip(nodes.tolist(), owner.tolist(), strict=True):
-            at[who].add(node)
-        met |= np.array([bool(at[k] & at[n + k]) for k in range(n)])
+    new = lambda size: rng.integers(1, 1 << 62, size).astype(np.uint64)
+    shared = new(int(400 * common))
+    sets = [np.concatenate([shared, new(400 - len(shared))]) for _ in range(n)]
+    twins = [np.concatenate([rng.permutation(s)[:356], new(44)]) for s in sets]
+    return [np.unique(s) for s in sets + twins]
+
+
+@pytest.mark.parametrize("common", [0.6])
+def test_pairs_at_the_threshold_are_found_in_large_nodes(spark, monkeypatch, common):
+    monkeypatch.setattr(neardup, "CHUNK", 30)
+    n = 500
+    sets = family(n, common)
+    rows, nodes = neardup.sketched(sets)
+    frame = spark.createDataFrame([(k, bytearray(rows[k].tobytes()), nodes[k].view(np.int64).tolist()) for k in range(2 * n)], "id long, sketch binary, nodes array<long>")
+    sizes = collections.Counter(x for k in range(2 * n) for x in nodes[k].tolist())
+    assert max(sizes.values()) > 5 * neardup.CHUNK
     links = neardup.candidates(frame).collect()
     label = neardup.settle(2 * n, np.array([r["a"] for r in links]), np.array([r["b"] for r in links]))
-    assert met.mean() > 0.99 and (label[:n] == label[n:])[met].all()
+    assert (label[:n] == label[n:]).mean() >= 0.99
+    assert len(np.unique(label)) > n / 2
+
+
+def test_trees_are_independent():
+    rows, nodes = neardup.sketched([np.arange(1, 200, dtype=np.uint64), np.empty(0, np.uint64)])
+    assert len(nodes[1]) == 0 and not rows[1].any() and len(set(nodes[0].tolist())) == len(nodes[0]) >= neardup.TREES
+
+
+def test_long_words_do_not_collide():
+    import pyarrow as pa
+
+    low, high = "a", "b"
+    for _ in range(11):
+        low, high = low + high, high + low
+    one, other = neardup.shingle_sets(pa.array([low + " x", high + " x"]))
+    assert one[0] != other[0]
+
+
+@pytest.mark.parametrize("length", [2, 5])
+def test_near_duplicates_of_a_whole_table(spark, length):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets, holds = {}, collections.defaultdict(list)
+    for i, t in rows:
+        w = RULED.findall(t.translate(low))
+        sets[i] = frozenset(zip(*[w[k:] for k in range(length)], strict=False)) if len(w) >= length else frozenset([tuple(w)] if w else [])
+        for x in sets[i]:
+            holds[x].append(i)
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in sorted(sets):
+        shared = collections.Counter(j for x in sets[i] for j in holds[x] if j > i)
+        for j, n in shared.items():
+            if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    got = neardup.near_duplicates(docs, length).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(sets[i]), find(i)) for i in sets}
 
 
 def test_word_hashes_do_not_depend_on_slices(monkeypatch):
