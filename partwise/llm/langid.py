@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PROFILE = 300
@@ -112,7 +112,8 @@ def learn(labelled: DataFrame, size: int = PROFILE, sample_docs: int = SAMPLE_DO
     share = F.lit(0.0)
     for name, n in sorted(sizes.items()):
         share = F.when(F.col("lang") == name, min(1.0, sample_docs / n)).otherwise(share)
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < share * 1_000_003)
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / F.lit(2.0**53)
+    chosen = rows.where(draw < share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, dict[int, int]] = {}
@@ -128,11 +129,10 @@ def learn(labelled: DataFrame, size: int = PROFILE, sample_docs: int = SAMPLE_DO
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(tally), pa.string()), pa.array(list(tally), pa.int64()), pa.array(list(tally.values()), pa.int64())], names=["lang", "gram", "n"])
 
     sums = chosen.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    by_language = {}
-    for name in sorted(sizes):
-        top = sums.where(F.col("lang") == name).orderBy(F.desc("n"), "gram").limit(size).collect()
-        if top:
-            by_language[name] = [r["gram"] for r in top]
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    by_language: dict[str, list[int]] = {}
+    for r in sums.withColumn("place", place).where(F.col("place") <= size).orderBy("lang", "place").collect():
+        by_language.setdefault(r["lang"], []).append(r["gram"])
     return Profiles(by_language, size)
 
 
