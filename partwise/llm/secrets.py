@@ -9,10 +9,10 @@ two states merge if the Hoeffding bound tells neither their ends nor their next
 symbols apart, and the same holds for all states that the merge folds together.
 A background model, digram frequencies of character classes in all other words,
 says how likely the same token is in ordinary text.  Every
-candidate token of every text is then scored by its log-likelihood ratio, bits a
-symbol; the best kind's candidates over ``LEAST_BITS`` become spans of kind
-``like_<kind>``.  Spans that the rules found stay as they are; a learned span
-never overlaps one.
+candidate token of every text, those within the rules' spans too, is then scored
+by its log-likelihood ratio, bits a symbol; the best kind's candidates over
+``LEAST_BITS`` become spans of kind ``like_<kind>``.  Spans that the rules found
+stay as they are.
 
 Only the automata, a few thousand numbers whatever the corpus, go to the
 executors.  Learning reads the documents once, and the scan is another pass
@@ -321,20 +321,24 @@ def learn(docs: DataFrame, most: int = SAMPLE_CREDENTIALS) -> Formats:
 
 
 def all_spans(text: str, formats: Formats, least_bits: float = LEAST_BITS) -> tuple[list[tuple[int, int, int]], list[tuple[int, str, int]]]:
-    """The rules' spans, and the learned ones that overlap none of them."""
-    base = rule_spans(text)
+    """The rules' spans, and the learned ones of every candidate, whether a rule found it or not."""
     extra = []
     for s, e in candidates(text):
-        if any(a < e and s < b for a, _, b in base):
-            continue
         best = formats.best(text[s:e])
         if best and best[1] >= least_bits:
             extra.append((s, f"like_{best[0]}", e))
-    return base, extra
+    return rule_spans(text), extra
+
+
+def beyond(base: list[tuple[int, int, int]], extra: list[tuple[int, str, int]]) -> int:
+    """How many learned spans touch none of the rules'."""
+    return sum(not any(a < e and s < b for a, _, b in base) for s, _, e in extra)
 
 
 def scan(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
-    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` of every row.
+    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_learned, n_beyond`` of every row.
+
+    ``n_learned`` counts the learned spans, ``n_beyond`` those that touch none of the rules'.
 
     A null text is empty: no spans, and the digest of the empty string.  An
     empty table teaches nothing and gives an empty result.  Repeated rows are
@@ -345,7 +349,7 @@ def scan(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: list[list[int]] = [[], [], []]
-            digests, spans = [], []
+            digests, spans, learnt, alone = [], [], [], []
             for text in batch.column(1).to_pylist():
                 base, extra = all_spans(text or "", learned)
                 for k in range(3):
@@ -353,18 +357,24 @@ def scan(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
                 digests.append(hashlib.sha256(",".join([f"{KINDS[k]}:{s}:{e}" for s, k, e in base]).encode()).hexdigest())
                 every = sorted([(s, k, KINDS[k], e) for s, k, e in base] + [(s, 3, k, e) for s, k, e in extra])
                 spans.append(",".join([f"{k}:{s}:{e}" for s, _, k, e in every]))
+                learnt.append(len(extra))
+                alone.append(beyond(base, extra))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), pa.array(spans, pa.string())],
-                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+                [batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(learnt, pa.int64()), pa.array(alone, pa.int64())],
+                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_learned", "n_beyond"],
             )
 
     source = docs.select("doc_id", "text")
     kind = source.schema["doc_id"].dataType.simpleString()
-    return source.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return source.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_learned long, n_beyond long")
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", formats: Formats | None = None) -> DataFrame:
-    """The rows with every span of their texts, learned ones included, replaced by ``mark``; ``n_chars`` follows where it exists."""
+    """The rows with every span of their texts, learned ones included, replaced by ``mark``; ``n_chars`` follows where it exists.
+
+    Spans that overlap become one mark.  Null and empty texts, other columns and
+    repeated rows stay as they are; an empty table gives an empty result.
+    """
     learned = formats or learn(docs)
     names = docs.columns
     place, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
