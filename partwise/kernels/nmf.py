@@ -102,6 +102,34 @@ def fit(
     return p, q, done
 
 
+def apply_fixed(v: np.ndarray, dense: np.ndarray, begin: float, rounds: int, tol: float = 0.0) -> np.ndarray:
+    """Sample weights (signatures x samples) of v (features x samples) under fixed weights (features x signatures), by Kullback-Leibler updates.
+
+    With ``tol``, every ten rounds samples whose loss fell by less than that share
+    of their first loss are done, each by itself.
+    """
+    mass = np.maximum(dense.sum(axis=0), EPS)[:, None]
+    h = np.full((dense.shape[1], v.shape[1]), begin)
+
+    def losses(live: np.ndarray) -> np.ndarray:
+        y, x = np.maximum(dense @ h[:, live], EPS), v[:, live]
+        each = np.where(x > 0, x * np.log(np.where(x > 0, x, 1) / y), 0).sum(axis=0) - x.sum(axis=0) + y.sum(axis=0)
+        return np.sqrt(2 * np.maximum(each, 0))
+
+    live = np.arange(v.shape[1])
+    first = losses(live) if tol > 0 else None
+    last = first
+    for turn in range(1, rounds + 1):
+        h[:, live] *= (dense.T @ (v[:, live] / np.maximum(dense @ h[:, live], EPS))) / mass
+        if tol > 0 and turn % 10 == 0:
+            now = losses(live)
+            going = (first > 0) & (last - now >= tol * first)
+            live, first, last = live[going], first[going], now[going]
+            if not len(live):
+                break
+    return h
+
+
 def holdout(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray, k: int, **options) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Gabriel holdout: factor D, carry its factors to B and C, predict A.  Returns prediction and its two factors."""
     p_d, h_d, _ = fit(d, k, **options)

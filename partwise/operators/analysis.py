@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -34,16 +36,26 @@ def weight_order(w: DataFrame, threshold: float = 0.0) -> DataFrame:
     return w.where(F.col("weight") > threshold).withColumn("order", F.row_number().over(order))
 
 
-def names_by_weight(w: DataFrame, cumulative: float = 0.4, most_chars: int = 10, most: int = 5, delimiter: str = "+") -> DataFrame:
-    """Label of each signature: its heaviest features up to ``cumulative`` of the weight, within a budget of letters, after ``S<i>_``."""
-    by = Window.partitionBy("signature").orderBy(F.desc("weight"), "feature")
-    before = F.coalesce(F.sum("weight").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    ranked = w.withColumn("before", before).withColumn("r", F.row_number().over(by))
+def names_by_weight(w: DataFrame, cumulative: float = 0.4, most_chars: int = 10, most: int = 5, delimiter: str = "+", number: bool = True, clean: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Label of each signature from its heaviest features.
+
+    They are those that representativeness up to ``cumulative`` of the weight
+    keeps, ``most`` of them, always the first and then whole ones while their
+    letters fit ``most_chars``; joined, cleaned (blanks become underscores), and cut to
+    ``most_chars`` at last.  ``number`` puts ``S<i>_`` before.
+    """
+    by = Window.partitionBy("signature").orderBy(F.desc("share"), "feature")
     total = F.sum("weight").over(Window.partitionBy("signature"))
-    kept = ranked.withColumn("total", total).where((F.col("before") < F.col("total") * cumulative) & (F.col("r") <= most))
-    lists = kept.groupBy("signature", "sig_ord").agg(F.sort_array(F.collect_list(F.struct("r", "feature"))).alias("l"))
-    label = F.array_join(F.transform("l", lambda x: x["feature"]), delimiter)
-    return lists.select("signature", F.concat(F.lit("S"), F.col("sig_ord"), F.lit("_"), F.substring(label, 1, most_chars)).alias("label"))
+    shares = w.withColumn("share", F.when(total != 0, F.col("weight") / total)).where("share is not null")
+    before = F.coalesce(F.sum("share").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ranked = shares.select("signature", "sig_ord", "feature", before.alias("before"), F.row_number().over(by).alias("r"))
+    kept = ranked.where(((F.col("before") < cumulative) & (F.col("r") <= most)) | (F.col("r") == 1))
+    letters = F.sum(F.length("feature")).over(Window.partitionBy("signature").orderBy("r").rowsBetween(Window.unboundedPreceding, 0))
+    fit = kept.withColumn("letters", letters).where((F.col("letters") <= most_chars) | (F.col("r") == 1))
+    lists = fit.groupBy("signature", "sig_ord").agg(F.sort_array(F.collect_list(F.struct("r", "feature"))).alias("l"))
+    joined = F.array_join(F.transform("l", lambda x: x["feature"]), delimiter)
+    label = F.substring(clean(joined) if clean else F.replace(joined, F.lit(" "), F.lit("_")), 1, most_chars)
+    return lists.select("signature", (F.concat(F.lit("S"), F.col("sig_ord"), F.lit("_"), label) if number else label).alias("label"))
 
 
 def consensus(h: DataFrame) -> DataFrame:
@@ -109,7 +121,8 @@ def top_models(models: DataFrame, criterion: str, n: int) -> DataFrame:
 
 
 def bray_curtis(x: DataFrame, key: str = "sample", other: str = "feature", value: str = "value") -> DataFrame:
-    """``(i, j, distance)``, i < j, of all samples; sums over the shared ``other`` axis."""
+    """``(i, j, distance)``, i < j, of all samples that have mass; sums over the shared ``other`` axis."""
+    x = x.withColumn("_mass", F.sum(value).over(Window.partitionBy(key))).where("_mass > 0").drop("_mass")
     a = x.select(other, F.col(key).alias("i"), F.col(value).alias("p"))
     b = x.select(other, F.col(key).alias("j"), F.col(value).alias("q"))
     both = a.join(b, other).where("i < j")

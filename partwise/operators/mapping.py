@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partwise.operators.matrix import share
+
 # Patterns of lineage labels, ranks from the left parted by ``;``.
 RANK_MARK = r"[a-zA-Z]__"
 SPLIT_GENUS = r"(?U)(\w+)_\w$"
@@ -63,6 +65,77 @@ def clean(x: DataFrame) -> DataFrame:
     return y.join(total, "sample").select("feature", "sample", (F.col("value") / F.col("t")).alias("value"))
 
 
+def last_named(label: Column) -> Column:
+    """The last named rank and the unknown ones after it: ``A;B;?`` as ``B;?``."""
+    return F.regexp_replace(label, r".*;([^;?]+[;?]*)$", "$1")
+
+
+def short_genus(names: DataFrame) -> DataFrame:
+    """``(feature, short)``: the last named rank if one name alone contains it, else the last two ranks or, where several short names contain it too, the last three.
+
+    Names are looked for in all names, so this is for tables of a model's size.
+    """
+    one = names.select("feature").distinct().withColumn("tail", last_named(F.col("feature")))
+    if one.limit(20_001).count() > 20_000:
+        raise ValueError("more than 20,000 names")
+    other = F.broadcast(one.select(F.col("feature").alias("whole"), F.col("tail").alias("part")))
+    n = one.join(other, F.contains(F.col("whole"), F.col("tail"))).groupBy("feature", "tail")
+    n = n.agg(F.count("*").alias("n"), F.count_if(F.contains(F.col("part"), F.col("tail"))).alias("n_short"))
+    ranks = F.split("feature", ";")
+    last = lambda k: F.array_join(F.slice(ranks, F.greatest(F.size(ranks) - k + 1, F.lit(1)), F.lit(k)), ";")
+    short = F.when(F.col("n") == 1, F.col("tail")).when(F.col("n_short") == 1, last(2)).when(F.col("n_short") > 1, last(3)).otherwise(F.col("tail"))
+    return n.select("feature", short.alias("short"))
+
+
+def validate_lineages(x: DataFrame) -> DataFrame:
+    """A lineage table that is fit for matching, or a ``ValueError`` that says why it isn't.
+
+    At least two features and samples; sample names that aren't all whole numbers; features
+    and samples are swapped if over a fifth of the sample names say ``BACTERIA;``; rank marks go
+    if the first ten features by name all have them; numeric and wholly unknown features,
+    and features and samples without mass, are dropped; two features that are one
+    after padding to genus depth are an error.  The rest is scaled by sample.
+    """
+    size = x.agg(F.count_distinct("feature").alias("m"), F.count_distinct("sample").alias("n")).first()
+    if min(size["m"], size["n"]) < 2:
+        raise ValueError("a table needs two features and two samples; check the delimiter")
+    names = x.select("sample").distinct().agg(F.every(F.col("sample").rlike("^[0-9]+$")).alias("numeric"), F.avg(F.contains(F.upper("sample"), F.lit("BACTERIA;")).cast("int")).alias("taxa")).first()
+    if names["numeric"]:
+        raise ValueError("all sample names are numbers: the header seems to lack")
+    if names["taxa"] > 0.2:
+        x = x.select(F.col("sample").alias("feature"), F.col("feature").alias("sample"), "value")
+    first = x.select("feature").distinct().orderBy("feature").limit(10)
+    if first.agg(F.every(F.col("feature").rlike(RANK_MARK)).alias("marked")).first()["marked"]:
+        x = x.withColumn("feature", strip_ranks(F.col("feature")))
+    x = x.where(~numeric(F.col("feature")))
+    labels = x.select("feature").distinct().withColumn("whole", padded(F.col("feature")))
+    twice = labels.groupBy("whole").agg(F.sort_array(F.collect_list("feature")).alias("of")).where("size(of) > 1").orderBy("whole").first()
+    if twice is not None:
+        raise ValueError(f"features that are one at genus depth: {', '.join(twice['of'][:5])}")
+    x = x.where(~unknown(F.col("feature")))
+    for axis in ("feature", "sample"):
+        x = x.join(x.groupBy(axis).agg(F.sum("value").alias("t")).where("t <> 0").select(axis), axis, "left_semi")
+    return share(x, "sample")
+
+
+def missing(w: DataFrame, found: DataFrame) -> DataFrame:
+    """Features of a model that nothing is mapped to."""
+    return w.select(F.col("feature").alias("model_feature")).distinct().join(found, "model_feature", "left_anti")
+
+
+def conflicts(found: DataFrame) -> DataFrame:
+    """Inputs with several targets, and these in order."""
+    lists = found.groupBy("input_feature").agg(F.sort_array(F.collect_list(F.struct("priority", "model_feature"))).alias("l"))
+    return lists.where(F.size("l") > 1).select("input_feature", F.transform("l", lambda t: t["model_feature"]).alias("targets"))
+
+
+def parted(left: DataFrame, right: DataFrame, key: str = "feature") -> DataFrame:
+    """``(key, side)`` of the labels of two tables: ``left`` only, ``both``, ``right`` only."""
+    a = left.select(key).distinct().withColumn("l", F.lit(True))
+    b = right.select(key).distinct().withColumn("r", F.lit(True))
+    return a.join(b, key, "full").select(key, F.when(F.col("r").isNull(), "left").when(F.col("l").isNull(), "right").otherwise("both").alias("side"))
+
+
 def match_identical(w: DataFrame, x: DataFrame) -> DataFrame:
     """``(input_feature, model_feature, priority, rule)`` of equal names."""
     both = x.select("feature").distinct().join(w.select("feature").distinct(), "feature")

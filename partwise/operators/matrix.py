@@ -70,7 +70,20 @@ def wide(x: DataFrame, samples: Sequence[str]) -> DataFrame:
 def long(x: DataFrame, key: str = "feature", name: str = "sample", value: str = "value") -> DataFrame:
     """A wide table as a long one."""
     rest = [c for c in x.columns if c != key]
-    return x.unpivot([key], [F.col(c).cast("double").alias(c) for c in rest], name, value)
+    return x.select(quoted(key), *[quoted(c).cast("double").alias(c) for c in rest]).unpivot([quoted(key)], [quoted(c) for c in rest], name, value)
+
+
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots, blanks and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def pivot_fields(stacked: DataFrame, key: str = "sample", field: str = "field", value: str = "value") -> DataFrame:
+    """Stacked metadata as one column a field; of several values the least."""
+    fields = [r[field] for r in stacked.select(field).distinct().orderBy(field).limit(10_001).collect()]
+    if len(fields) > 10_000:
+        raise ValueError("more than 10,000 fields")
+    return stacked.groupBy(key).pivot(field, fields).agg(F.min(value))
 
 
 def pick(weights: DataFrame, axis: str, wanted: DataFrame) -> DataFrame:
@@ -78,6 +91,48 @@ def pick(weights: DataFrame, axis: str, wanted: DataFrame) -> DataFrame:
     return weights.join(wanted, axis)
 
 
+def chosen(labels: Sequence[str], wanted: slice | int | str | Sequence[int | str] | None) -> list[str]:
+    """Names out of ordered ``labels`` by name, position, range of either, or a mixed list of these; ``IndexError`` for what isn't there.
+
+    Ranges of positions end before their stop; ranges of names include it.
+    """
+    if wanted is None:
+        return list(labels)
+    if isinstance(wanted, slice):
+        at = lambda x: place(x) if isinstance(x, str) else x
+
+        def place(name: str) -> int:
+            if name not in labels:
+                raise IndexError(f"there is no {name!r}")
+            return labels.index(name)
+
+        stop = at(wanted.stop) + 1 if isinstance(wanted.stop, str) else wanted.stop
+        return list(labels[slice(at(wanted.start), stop, wanted.step)])
+    if isinstance(wanted, (int, str)):
+        wanted = [wanted]
+    out = []
+    for x in wanted:
+        if isinstance(x, str) and x not in labels:
+            raise IndexError(f"there is no {x!r}")
+        if not isinstance(x, str) and not -len(labels) <= x < len(labels):
+            raise IndexError(f"there is no position {x} among {len(labels)}")
+        out.append(x if isinstance(x, str) else labels[x])
+    return out
+
+
+def sliced(weights: DataFrame, axis: str, wanted, order: str | None = None) -> DataFrame:
+    """Rows of the wanted labels of an axis, with ``new_ord``, their place in the order asked for, from 1.
+
+    ``order`` names the column that orders the labels, else their names do.  Labels, not cells, come to the driver.
+    """
+    keys = weights.select(axis, *([order] if order else [])).distinct().orderBy(order or axis).limit(1_000_001).collect()
+    if len(keys) > 1_000_000:
+        raise ValueError(f"more than a million labels on {axis}; join with a table of the wanted ones")
+    names = chosen([r[axis] for r in keys], wanted)
+    table = weights.sparkSession.createDataFrame([(n, k + 1) for k, n in enumerate(names)], f"`{axis}` string, new_ord int")
+    return pick(weights, axis, table)
+
+
 def split_cohorts(x: DataFrame, labels: DataFrame, min_size: int = 0) -> DataFrame:
     """Cells with their sample's label; labels of fewer samples are dropped."""
     sizes = labels.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") >= min_size).select("label")

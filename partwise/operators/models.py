@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partwise.kernels import nmf, small
+from partwise.operators.holdout import dense_matrix
+from partwise.session import cut
 
 #: Weights of a model that a task may hold.
 MOST_WEIGHTS = 50_000_000
@@ -28,44 +30,50 @@ def held(w: DataFrame) -> tuple[list[str], list[str], np.ndarray]:
     return dense.index.tolist(), names, dense.to_numpy(float)
 
 
-def transform(x: DataFrame, w: DataFrame, rounds: int = 200) -> DataFrame:
+def transform(x: DataFrame, w: DataFrame, rounds: int = 200, tol: float = 0.0) -> DataFrame:
     """H of new samples under fixed weights: ``(sample, signature, sig_ord, weight)``.
 
-    Kullback-Leibler updates, a fixed number of rounds from the constant start
-    sqrt(mean / k), where the mean is that of the whole matrix over the model's
-    features.  Given that mean each sample stands alone, so samples are
-    gathered one by one and mapped in Arrow batches; one shuffle by sample.
+    Kullback-Leibler updates from the constant start sqrt(mean / k), where the
+    mean is that of the whole matrix over the model's features; up to ``rounds``
+    of them, fewer for samples that gain less than ``tol`` in ten.  Given that mean each
+    sample stands alone: features are numbered by a join, samples gathered one by
+    one and mapped in Arrow batches; one shuffle by sample.  The weights, of
+    checked size, are broadcast once to each executor.
     """
+    spark = x.sparkSession
     features, names, dense = held(w)
-    place = {f: i for i, f in enumerate(features)}
-    known = x.join(F.broadcast(w.select("feature").distinct()), "feature", "left_semi")
-    totals = known.agg(F.sum("value").alias("s"), F.count_distinct("sample").alias("n")).first()
+    place = F.broadcast(spark.createDataFrame(list(zip(features, range(len(features)), strict=True)), "feature string, at int"))
+    rows = x.join(place, "feature").groupBy("sample").agg(F.collect_list("at").alias("at"), F.collect_list("value").alias("v"), F.sum("value").alias("s"))
+    # The samples are few beside the cells: written once, they give the mean and then the result.
+    rows = cut(rows)
+    totals = rows.agg(F.sum("s").alias("s"), F.count("*").alias("n")).first()
     begin = math.sqrt((totals["s"] or 0.0) / (len(features) * max(totals["n"], 1)) / len(names))
-    rows = known.groupBy("sample").agg(F.collect_list("feature").alias("f"), F.collect_list("value").alias("v"))
+    sent = spark.sparkContext.broadcast(dense)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ.setdefault("OMP_NUM_THREADS", "1")
-        mass = dense.sum(axis=0)
+        weights = sent.value
         for block in batches:
             for lo in range(0, len(block), 1024):
                 part = block.iloc[lo : lo + 1024]
-                v = np.zeros((len(features), len(part)))
-                for j, (f, values) in enumerate(zip(part["f"], part["v"], strict=True)):
-                    v[[place[name] for name in f], j] = values
-                h = np.full((len(names), len(part)), begin)
-                for _ in range(rounds):
-                    y = np.maximum(dense @ h, nmf.EPS)
-                    h = h * (dense.T @ (v / y)) / np.maximum(mass, nmf.EPS)[:, None]
-                yield pd.DataFrame(
-                    {
-                        "sample": np.repeat(part["sample"].to_numpy(), len(names)),
-                        "signature": np.tile(names, len(part)),
-                        "sig_ord": np.tile(np.arange(1, len(names) + 1, dtype=np.int32), len(part)),
-                        "weight": h.T.ravel(),
-                    }
-                )
-
-    return rows.mapInPandas(run, "sample string, signature string, sig_ord int, weight double")
+                v = dense_block(part["at"], part["v"], len(weights))
+                yield long_weights(part["sample"], names, nmf.apply_fixed(v, weights, begin, rounds, tol))
+
+    return rows.select("sample", "at", "v").mapInPandas(run, "sample string, signature string, sig_ord int, weight double")
+
+
+def dense_block(at: pd.Series, values: pd.Series, m: int) -> np.ndarray:
+    """Features x samples from each sample's feature numbers and values."""
+    v = np.zeros((m, len(at)))
+    for j, (places, xs) in enumerate(zip(at, values, strict=True)):
+        v[np.asarray(places, int), j] = xs
+    return v
+
+
+def long_weights(samples: pd.Series, names: list[str], h: np.ndarray) -> pd.DataFrame:
+    """A block's weights (signatures x samples) as rows."""
+    k = len(names)
+    return pd.DataFrame({"sample": np.repeat(samples.to_numpy(), k), "signature": np.tile(names, len(samples)), "sig_ord": np.tile(np.arange(1, k + 1, dtype=np.int32), len(samples)), "weight": h.T.ravel()})
 
 
 def transform_joined(x: DataFrame, w: DataFrame, begin: float, rounds: int) -> DataFrame:
@@ -87,29 +95,30 @@ FITTED = "model_id string, rank int, seed long, n_iter int, features array<strin
 
 
 def decompose(x: DataFrame, ranks: list[int], starts: int = 100, seed: int = 0, init: str = "random", **options) -> DataFrame:
-    """One row a fit: ids, measures, and both factors as arrays (row-major).  Inits without randomness start once."""
+    """One row a fit: ids, measures, and both factors as arrays (row-major).  Inits without randomness start once.
+
+    The matrix, of checked size, is broadcast once; a task is a (rank, seed), largest ranks first.
+    """
     n = 1 if init in ("nndsvd", "nndsvda") else starts
     spark = x.sparkSession
-    tasks = spark.createDataFrame([(int(r), int(seed * 1_000_003 + r * 1_009 + s)) for r in sorted(ranks, reverse=True) for s in range(n)], "rank int, seed long")
-    work = x.select("feature", "sample", "value").crossJoin(F.broadcast(tasks))
+    features, samples, v = dense_matrix(x)
+    sent = spark.sparkContext.broadcast((features, samples, v))
+    listed = [(int(r), int(seed * 1_000_003 + r * 1_009 + s)) for r in sorted(ranks, reverse=True) for s in range(n)]
+    tasks = spark.createDataFrame(listed, "rank int, seed long").repartition(max(1, min(len(listed), 10_000)), "rank", "seed")
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
+    def run(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ.setdefault("OMP_NUM_THREADS", "1")
-        rank, own = int(block["rank"].iloc[0]), int(block["seed"].iloc[0])
-        m = block.pivot(index="feature", columns="sample", values="value").fillna(0.0).sort_index().sort_index(axis=1)
-        v = m.to_numpy(float)
-        w, h, rounds = nmf.fit(v, rank, init=init, seed=own, **options)
-        got = nmf.measures(v, w @ h)
-        return pd.DataFrame(
-            [
-                {
-                    "model_id": f"k{rank}-s{own}", "rank": rank, "seed": own, "n_iter": rounds, "features": m.index.tolist(), "samples": m.columns.tolist(), "w": w.ravel(), "h": h.ravel(),
-                    "cosine_similarity": got["cosine_similarity"], "r_squared": got["r_squared"], "rss": got["rss"], "l2_norm": got["l2_norm"], "beta_divergence": got["reconstruction_error"],
-                }
-            ]
-        )
-
-    return work.groupBy("rank", "seed").applyInPandas(run, FITTED)
+        features, samples, v = sent.value
+        for block in blocks:
+            out = []
+            for rank, own in zip(block["rank"].tolist(), block["seed"].tolist(), strict=True):
+                w, h, rounds = nmf.fit(v, rank, init=init, seed=own, **options)
+                got = nmf.measures(v, w @ h)
+                kept = {k: got[k] for k in ("cosine_similarity", "r_squared", "rss", "l2_norm")}
+                out.append({"model_id": f"k{rank}-s{own}", "rank": rank, "seed": own, "n_iter": rounds, "features": features, "samples": samples, "w": w.ravel(), "h": h.ravel(), **kept, "beta_divergence": got["reconstruction_error"]})
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in FITTED.split(", ")])
+
+    return tasks.mapInPandas(run, FITTED)
 
 
 def weights_of(models: DataFrame) -> DataFrame:

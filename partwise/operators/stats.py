@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from partwise.kernels import small
+from partwise.operators.matrix import quoted
 
 
 def average_ranks(values: DataFrame, by: list[str]) -> DataFrame:
@@ -34,8 +35,7 @@ def kruskal(ranked: DataFrame, by: list[str]) -> DataFrame:
     return s.groupBy(*by).agg((raw / fix).alias("h"), (F.count("*") - 1).alias("df"))
 
 
-def mann_whitney(ranked: DataFrame, by: list[str]) -> DataFrame:
-    """U of the first group by name, and its normal score with continuity and tie correction."""
+def _mann_whitney(ranked: DataFrame, by: list[str]) -> DataFrame:
     s = rank_sums(ranked, by)
     a, b = F.min(F.struct("grp", "n", "r")), F.max(F.struct("grp", "n", "r"))
     two = s.groupBy(*by).agg(a.alias("a"), b.alias("b"), F.first("total").cast("double").alias("t"), F.first("tie").alias("tie"), F.count("*").alias("groups")).where("groups = 2")
@@ -43,7 +43,13 @@ def mann_whitney(ranked: DataFrame, by: list[str]) -> DataFrame:
     u = F.col("a.r") - n1 * (n1 + 1) / 2
     spread = F.sqrt(n1 * n2 / 12 * ((F.col("t") + 1) - F.col("tie") / (F.col("t") * (F.col("t") - 1))))
     far = F.greatest(u, n1 * n2 - u)
-    return two.select(*by, u.alias("u"), ((far - n1 * n2 / 2 - 0.5) / spread).alias("z"))
+    z = F.when(spread > 0, (far - n1 * n2 / 2 - 0.5) / spread)
+    return two.select(*by, u.alias("u"), z.alias("z"), F.col("a.n").alias("n1"), F.col("b.n").alias("n2"), "tie")
+
+
+def mann_whitney(ranked: DataFrame, by: list[str]) -> DataFrame:
+    """U of the first group by name, and its normal score with continuity and tie correction."""
+    return _mann_whitney(ranked, by).select(*by, "u", "z")
 
 
 def dunn(ranked: DataFrame, by: list[str]) -> DataFrame:
@@ -64,15 +70,113 @@ def chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def normal_tail(z: pd.Series) -> pd.Series:
     """P(|N| >= |z|)."""
-    return z.map(lambda v: None if pd.isna(v) else small.normal_tail(float(v)))
+    return z.map(small.normal_tail, na_action="ignore")
+
+
+@F.pandas_udf(DoubleType())
+def mann_whitney_tail(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+    """Two-sided p of U without ties, from its exact distribution; for a group of at most eight."""
+    return pd.Series([None if pd.isna(a) else small.mann_whitney_tail(float(a), int(n), int(m)) for a, n, m in zip(u, n1, n2, strict=True)])
+
+
+#: Tests that may be adjusted together: their ranks need one task.
+MOST_TESTS = 1_000_000
+METHODS = ("fdr_bh", "fdr_by", "bonferroni", "holm")
 
 
-def adjusted(tests: DataFrame, by: list[str], p: str = "p", out: str = "adj_p") -> DataFrame:
-    """Benjamini-Hochberg within ``by``."""
+def adjusted(tests: DataFrame, by: list[str], p: str = "p", out: str = "adj_p", method: str = "fdr_bh") -> DataFrame:
+    """p-values adjusted within ``by``; all together if it is empty, then at most ``MOST_TESTS`` of them."""
+    if method not in METHODS:
+        raise ValueError(f"no adjustment {method!r}")
+    if not by and tests.limit(MOST_TESTS + 1).count() > MOST_TESTS:
+        raise ValueError(f"more than {MOST_TESTS} tests to adjust together")
     every = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    order = every.orderBy(F.col(p), "test_id")
-    raw = F.col(p) * F.count("*").over(every) / F.row_number().over(order)
-    return tests.withColumn("_raw", raw).withColumn(out, F.least(F.lit(1.0), F.min("_raw").over(every.orderBy(F.desc(p), F.desc("test_id")).rowsBetween(Window.unboundedPreceding, 0)))).drop("_raw")
+    rising, falling = every.orderBy(F.col(p), "test_id"), every.orderBy(F.desc(p), F.desc("test_id"))
+    n, place = F.count("*").over(every), F.row_number().over(rising)
+    before = Window.unboundedPreceding
+    if method == "bonferroni":
+        return tests.withColumn(out, F.least(F.lit(1.0), F.col(p) * n))
+    if method == "holm":
+        raw, final = F.col(p) * (n - place + 1), F.max("_raw").over(rising.rowsBetween(before, 0))
+    else:
+        factor = F.aggregate(F.sequence(F.lit(1).cast("long"), n), F.lit(0.0), lambda a, k: a + 1 / k) if method == "fdr_by" else F.lit(1.0)
+        raw, final = F.col(p) * n / place * factor, F.min("_raw").over(falling.rowsBetween(before, 0))
+    return tests.withColumn("_raw", raw).withColumn(out, F.least(F.lit(1.0), final)).drop("_raw")
+
+
+def discrete(column: Column, rows: Column) -> Column:
+    """Whether a text column has few values for its rows, at most three quarters as many; aggregate."""
+    return F.count_distinct(column) <= 0.75 * rows
+
+
+def kinds(metadata: DataFrame, key: str = "sample") -> dict[str, str]:
+    """``continuous``, ``discrete`` or ``other`` for each column but the key: numbers are continuous, booleans discrete, texts discrete if their values recur."""
+    out, texts = {}, []
+    for f in metadata.schema.fields:
+        if f.name == key:
+            continue
+        name = f.dataType.simpleString()
+        if name in ("double", "float", "int", "bigint", "smallint", "tinyint") or name.startswith("decimal"):
+            out[f.name] = "continuous"
+        elif name == "boolean":
+            out[f.name] = "discrete"
+        else:
+            texts.append(f.name)
+    if texts:
+        found = metadata.agg(*[discrete(quoted(c), F.count(quoted(c))).alias(f"c{k}") for k, c in enumerate(texts)]).first()
+        out |= {c: "discrete" if found[f"c{k}"] else "other" for k, c in enumerate(texts)}
+    return out
+
+
+def stacked(metadata: DataFrame, fields: list[str], key: str = "sample") -> DataFrame:
+    """``(sample, md, grp)`` of the fields that are known; null is left out."""
+    if not fields:
+        return metadata.select(quoted(key).alias("sample"), F.lit("").alias("md"), F.lit("").alias("grp")).where(F.lit(False))
+    wide = metadata.select(quoted(key).alias("sample"), *[quoted(f).cast("string").alias(f) for f in fields])
+    return wide.unpivot(["sample"], [quoted(f) for f in fields], "md", "grp").where("grp is not null")
+
+
+def univariate(values: DataFrame, metadata: DataFrame, alpha: float = 0.05, method: str = "fdr_bh") -> DataFrame:
+    """Tests of every measure against every field: a row a (md, signature).
+
+    ``values`` is ``(sample, signature, value)``, ``metadata`` ``(sample, md, grp)``; null groups
+    take no part.  Two groups: Mann-Whitney U of the first by name, its p exact for a group
+    of at most eight without ties, else from the normal with continuity and tie
+    corrections.  More: Kruskal-Wallis and Dunn's test of each pair, adjusted within
+    the row; pairs at or under ``alpha`` are written ``a|b(p)``.  ``max_mean`` and ``max_median`` name
+    the highest group, ties going to the later by name.  p is adjusted locally, within
+    a field, and globally.  A field with one group is a ``ValueError``.
+    """
+    by = ["md", "signature"]
+    v = values.join(metadata.where("grp is not null"), "sample").select(*by, "sample", "grp", "value")
+    groups = v.groupBy(*by, "grp").agg(F.avg("value").alias("mean"), F.median("value").alias("median"))
+    tops = groups.groupBy(*by).agg(F.max_by("grp", F.struct("median", "grp")).alias("max_median"), F.max_by("grp", F.struct("mean", "grp")).alias("max_mean"), F.count("*").alias("groups"))
+    if (alone := tops.where("groups < 2").first()) is not None:
+        raise ValueError(f"{alone['md']} has a single group")
+    ranked = average_ranks(v, by)
+    two = _mann_whitney(ranked, by)
+    near = F.least("n1", "n2") <= 8
+    exact = mann_whitney_tail(F.col("u"), F.col("n1"), F.col("n2"))
+    two = two.select(*by, F.col("u").alias("statistic"), F.when(near & (F.col("tie") == 0), exact).otherwise(normal_tail(F.greatest("z", F.lit(0.0)))).alias("p"), F.lit("mannwhitneyu").alias("test"), F.lit(None).cast("string").alias("posthoc_str"))
+    pairs = dunn(ranked, by).withColumn("raw", normal_tail("z")).withColumn("test_id", F.concat_ws("|", "a", "b"))
+    pairs = adjusted(pairs, by, "raw", "pair_p", method)
+    line = F.when(F.col("pair_p") <= alpha, F.struct("a", "b", F.format_string("%s|%s(%.6f)", "a", "b", "pair_p").alias("s")))
+    posthoc = pairs.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["s"]), ";").alias("posthoc_str"))
+    many = kruskal(ranked, by).where("df > 1").join(posthoc, by)
+    many = many.select(*by, F.col("h").alias("statistic"), chi2_tail("h", "df").alias("p"), F.lit("kruskal").alias("test"), "posthoc_str")
+    out = two.unionByName(many).join(tops.drop("groups"), by).withColumn("test_id", F.concat_ws("|", *by))
+    out = adjusted(out, ["md"], out="local_adj_p", method=method)
+    out = adjusted(out, [], out="global_adj_p", method=method).drop("test_id")
+    reject = {f"{k}_reject": F.col(f"{k}_adj_p") <= alpha for k in ("local", "global")}
+    return out.withColumns(reject | {"alpha": F.lit(alpha), "adj_method": F.lit(method)})
+
+
+def posthoc_table(values: DataFrame, metadata: DataFrame, method: str = "fdr_bh") -> DataFrame:
+    """``(md, signature, a, b, z, p, adj_p)``, a < b, of Dunn's test."""
+    by = ["md", "signature"]
+    ranked = average_ranks(values.join(metadata.where("grp is not null"), "sample").select(*by, "sample", "grp", "value"), by)
+    pairs = dunn(ranked, by).withColumn("p", normal_tail("z")).withColumn("test_id", F.concat_ws("|", "a", "b"))
+    return adjusted(pairs, by, method=method).drop("test_id")
 
 
 def written(p: Column, overall: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partwise.operators.matrix import fill, share
+from partwise.session import cut
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +21,23 @@ def brand_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill(lines.groupBy(F.col("p_brand").alias("feature"), F.col("n_name").alias("sample")).agg(F.sum("l_quantity").alias("value")))
 
 
+#: The brand matrix of the query that is being built.
+_HELD: dict[tuple[int, str], DataFrame] = {}
+
+
+def forget() -> None:
+    """Begin another query."""
+    _HELD.clear()
+
+
+def held_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The brand matrix, built and written once a query, whatever number of tables is derived from it."""
+    key = (id(spark), sf_dir)
+    if key not in _HELD:
+        _HELD[key] = cut(brand_by_nation(spark, sf_dir))
+    return _HELD[key]
+
+
 def type_by_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantity by part type and supplier; every cell."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -36,7 +54,7 @@ def event_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 def region_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fixed model: brand weights by region of the customer, each signature adding up to 1."""
     nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    cells = brand_by_nation(spark, sf_dir).join(nations, F.col("sample") == F.col("n_name"))
+    cells = held_brands(spark, sf_dir).join(nations, F.col("sample") == F.col("n_name"))
     sums = cells.groupBy("feature", F.col("r_name").alias("signature"), (F.col("r_regionkey") + 1).alias("sig_ord")).agg(F.sum("value").alias("weight"))
     return share(sums, "signature", "weight")
 
@@ -52,7 +70,7 @@ def segment_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fixed_h(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sample weights: inner products of the scaled matrix's samples with the fixed model's signatures."""
-    x = share(brand_by_nation(spark, sf_dir), "sample")
+    x = share(held_brands(spark, sf_dir), "sample")
     pairs = x.join(region_weights(spark, sf_dir), "feature")
     return pairs.groupBy("sample", "signature", "sig_ord").agg(F.sum(F.col("value") * F.col("weight")).alias("weight"))
 

@@ -19,7 +19,11 @@ def query(sql: str | None = None, base: bool = True):
     """Register a function as a query under its own name, with SQL over the common tables if there is any."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            inputs.forget()
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql is not None:
             SQL[f.__name__] = f"WITH {BASE}{sql}" if base else sql
         return f
@@ -36,7 +40,7 @@ w0, w1, h0, hs = inputs.region_weights, inputs.segment_weights, inputs.fixed_h,
 
 
 def x1(spark: SparkSession, d: str) -> DataFrame:
-    return matrix.share(m1(spark, d), "sample")
+    return matrix.share(inputs.held_brands(spark, d), "sample")
 
 
 def pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -216,8 +220,9 @@ def weight_order(spark, d):
     return rounded(analysis.weight_order(w0(spark, d), 0.04), "weight")
 
 
-@query(""", a AS (SELECT *, row_number() OVER b AS r, coalesce(sum(weight) OVER (PARTITION BY signature ORDER BY weight DESC, feature ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(weight) OVER (PARTITION BY signature) AS total FROM w0 WINDOW b AS (PARTITION BY signature ORDER BY weight DESC, feature))
-SELECT signature, 'S' || sig_ord || '_' || substr(string_agg(feature, '+' ORDER BY r), 1, 10) AS label FROM a WHERE before < total * 0.4 AND r <= 5 GROUP BY signature, sig_ord""")
+@query(""", a AS (SELECT *, row_number() OVER b AS r, coalesce(sum(weight) OVER (PARTITION BY signature ORDER BY weight DESC, feature ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w0 WINDOW b AS (PARTITION BY signature ORDER BY weight DESC, feature)),
+b AS (SELECT *, sum(length(feature)) OVER (PARTITION BY signature ORDER BY r ROWS UNBOUNDED PRECEDING) AS letters FROM a WHERE before < 0.4 AND r <= 5)
+SELECT signature, 'S' || sig_ord || '_' || substr(replace(string_agg(feature, '+' ORDER BY r), ' ', '_'), 1, 10) AS label FROM b WHERE r = 1 OR letters <= 10 GROUP BY signature, sig_ord""")
 def signature_names(spark, d):
     return analysis.names_by_weight(w0(spark, d))
 
@@ -309,13 +314,6 @@ def match_identical(spark, d):
 LINEAGES = ("k__B;p__X;c__Y;o__Z;f__F1;g__Gen_A", "B;X;Y;Z;F1;Gen", "B;X;Y;Z;F1;?", "B;X;;;;Other", "A;Q;;;;Other", "B;X;Y;Z;F2;New", "?;?;?", "B;X;Y;Z;F2;")
 
 
-@query(None)
-def match_genera_rules(spark, d):
-    x = spark.createDataFrame([(s,) for s in LINEAGES], "feature string").withColumn("feature", mapping.strip_ranks(F.col("feature")))
-    w = spark.createDataFrame([("B;X;Y;Z;F1;Gen",), ("B;X;Y;Z;F2;",), ("C;Q;;;;Other",)], "feature string")
-    return mapping.match_lineages(w, x)
-
-
 @query("""WITH t AS (SELECT regexp_replace(l, '[a-zA-Z]__', '', 'g') AS l FROM (VALUES """ + ", ".join(f"('{s}')" for s in LINEAGES) + """) v(l)), p AS (SELECT l, list_filter(string_split(replace(l, '?', ''), ';'), lambda z: trim(z) <> '') AS q FROM t)
 SELECT l AS lineage, CASE WHEN contains(string_split(l, ';')[-1], '_') THEN regexp_replace(l, '(\\w+)_\\w$', '\\1') ELSE l END AS root, q[-1] AS final_rank, len(q) = 0 AS unknown, array_to_string(list_resize(string_split(l, ';'), 6, ''), ';') AS padded FROM p""", base=False)
 def lineage_clean(spark, d):
@@ -342,11 +340,6 @@ def cosine_embeddings(spark, d):
     return rounded(analysis.cosines(c, c), "cosine")
 
 
-@query(None)
-def match_signatures(spark, d):
-    return rounded(models.match(analysis.cosines(w0(spark, d), w1(spark, d))), "pair_cosine")
-
-
 @query(COS + ", s AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY b) AS n FROM cp), z AS (SELECT a, b, cosine FROM s WHERE n = 1) SELECT z.a, z.b, round(z.cosine, 6) AS pair_cosine, round(max(cp.cosine), 6) AS max_off_cosine FROM z JOIN cp ON z.a = cp.a AND cp.b <> z.b GROUP BY 1, 2, 3")
 def max_off_cosine(spark, d):
     cos = analysis.cosines(w0(spark, d), w1(spark, d))
@@ -469,8 +462,11 @@ def transform_fixed_w(spark, d):
 
 @query(TRANSFORM + f" SELECT sample, signature, sig_ord, round(weight, 6) AS weight FROM g{ROUNDS}")
 def transform_joined(spark, d):
-    begin = (25 / (25 * 25) / 5) ** 0.5
-    return rounded(models.transform_joined(x1(spark, d), w0(spark, d), begin, ROUNDS), "weight")
+    x, w = x1(spark, d), w0(spark, d)
+    size = x.agg(F.sum("value").alias("s"), F.count_distinct("sample").alias("n")).first()
+    shape = w.agg(F.count_distinct("feature").alias("m"), F.count_distinct("signature").alias("k")).first()
+    begin = (size["s"] / (shape["m"] * size["n"]) / shape["k"]) ** 0.5
+    return rounded(models.transform_joined(x, w, begin, ROUNDS), "weight")
 
 
 @query(TRANSFORM + f", b AS (SELECT *, max(weight) OVER (PARTITION BY sample) AS top FROM g{ROUNDS}) SELECT sample, arg_min(signature, sig_ord) AS primary_signature FROM b WHERE weight = top GROUP BY sample")
@@ -484,22 +480,6 @@ def decompositions_topn(spark, d):
     return analysis.top_models(fits, "beta_divergence", 2).select("rank", "position", "model_id", "n_iter", "beta_divergence", "cosine_similarity")
 
 
-@query("SELECT 7 AS peak, 5.0::DOUBLE AS knee", base=False)
-def peak_and_knee(spark, d):
-    import numpy as np
-
-    from partwise.kernels import small
-
-    table = spark.createDataFrame([(0, r, v) for r, v in zip(range(2, 12), [0.6, 1.0, 0.9, 0.92, 0.93, 0.98, 0.7, 0.6, 0.5, 0.4], strict=True)], "g int, rank int, v double")
-    rows = table.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("rank", "v"))).alias("s"))
-
-    def run(batches):
-        for b in batches:
-            yield b.assign(peak=[small.peak(np.array([x["rank"] for x in s]), np.array([x["v"] for x in s])) for s in b["s"]], knee=[small.knee(np.arange(1, 11), np.array([0, 4, 6, 7.5, 9, 9.2, 9.4, 9.6, 9.8, 10.0])) for _ in b["s"]])[["peak", "knee"]]
-
-    return rows.mapInPandas(run, "peak int, knee double")
-
-
 # Agreement of models.
 
 CONS = ", mm AS (SELECT 'r' AS model_id, sample, signature, weight FROM h0 UNION ALL SELECT 's', sample, signature, weight FROM hs), tp AS (SELECT *, max(weight) OVER (PARTITION BY model_id, sample) AS top FROM mm), hd AS (SELECT model_id, sample, signature FROM tp WHERE weight = top), cs AS (SELECT DISTINCT a.model_id, a.sample AS i, b.sample AS j, 1.0::DOUBLE AS c FROM hd a JOIN hd b USING (model_id, signature) WHERE a.sample >= b.sample), cb AS (SELECT 5 AS rank, i, j, sum(c) / 2 AS c FROM cs GROUP BY i, j)"
@@ -604,22 +584,24 @@ def univariate_tests(spark, d):
     return k.select("test", "h", "df", "p", "global_adj_p", stats.written(F.col("p"), F.col("global_adj_p")).alias("significance"))
 
 
-PS = "(VALUES (1, 0.001::DOUBLE), (2, 0.008::DOUBLE), (3, 0.039::DOUBLE), (4, 0.041::DOUBLE), (5, 0.2::DOUBLE), (6, 0.9::DOUBLE)) t(test_id, p)"
+PS = "(SELECT c_nationkey AS test_id, ((sum(c_custkey) % 997) + 1) * ((sum(c_custkey) % 997) + 1) / 1000000.0::DOUBLE AS p FROM customer GROUP BY 1)"
 BH = f"WITH a AS (SELECT test_id, p, p * count(*) OVER () / row_number() OVER (ORDER BY p, test_id) AS raw FROM {PS}), b AS (SELECT test_id, p, least(1.0::DOUBLE, min(raw) OVER (ORDER BY p DESC, test_id DESC)) AS adj_p FROM a)"
 
 
-def p_values(spark):
-    return spark.createDataFrame([(1, 0.001), (2, 0.008), (3, 0.039), (4, 0.041), (5, 0.2), (6, 0.9)], "test_id int, p double")
+def p_values(spark, d):
+    """A number between 0 and 1 for each nation, many of them small."""
+    n = F.sum("c_custkey") % 997 + 1
+    return inputs.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("test_id")).agg((n * n / 1000000.0).alias("p"))
 
 
-@query(BH + " SELECT test_id, p, round(adj_p, 6) AS adj_p FROM b", base=False)
+@query(BH + " SELECT test_id, round(p, 6) AS p, round(adj_p, 6) AS adj_p FROM b", base=False)
 def bh_adjust(spark, d):
-    return rounded(stats.adjusted(p_values(spark), []), "adj_p")
+    return rounded(stats.adjusted(p_values(spark, d), []), "p", "adj_p")
 
 
 @query(BH + " SELECT test_id, CASE WHEN adj_p <= 0.01 THEN '***' WHEN adj_p <= 0.05 THEN '**' WHEN adj_p <= 0.1 THEN '*' WHEN p <= 0.01 THEN '..' WHEN p <= 0.05 THEN '.' ELSE '' END AS significance FROM b", base=False)
 def signif_format(spark, d):
-    t = stats.adjusted(p_values(spark), [])
+    t = stats.adjusted(p_values(spark, d), [])
     return t.select("test_id", stats.written(F.col("p"), F.col("adj_p")).alias("significance"))
 
 

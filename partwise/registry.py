@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from partwise.plans import analyses  # noqa: F401  (registers its queries)
 from partwise.plans.queries import QUERIES, SQL
 
 

@@ -8,29 +8,26 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from partwise.kernels.nmf import EPS
-from partwise.operators.models import held
+from partwise.kernels.nmf import apply_fixed
+from partwise.operators.models import dense_block, held, long_weights
 
 
 def score_stream(samples: DataFrame, w: DataFrame, begin: float, rounds: int = 200) -> DataFrame:
     """``samples`` is ``(sample, features array, values array)``, streaming or not; ``begin`` is the start of every weight.
 
-    Stateless: each arriving sample gives its rows ``(sample, signature, weight)``.
+    Stateless: each arriving sample gives its rows ``(sample, signature, weight)``; features that the model lacks are ignored.
     """
     features, names, dense = held(w)
-    place = {f: i for i, f in enumerate(features)}
+    place = pd.Series(np.arange(len(features)), index=features)
+    sent = samples.sparkSession.sparkContext.broadcast((place, dense))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        mass = np.maximum(dense.sum(axis=0), EPS)[:, None]
+        place, dense = sent.value
         for block in batches:
-            v = np.zeros((len(features), len(block)))
-            for j, (fs, xs) in enumerate(zip(block["features"], block["values"], strict=True)):
-                for f, x in zip(fs, xs, strict=True):
-                    if f in place:
-                        v[place[f], j] = x
-            h = np.full((len(names), len(block)), begin)
-            for _ in range(rounds):
-                h = h * (dense.T @ (v / np.maximum(dense @ h, EPS))) / mass
-            yield pd.DataFrame({"sample": np.repeat(block["sample"].to_numpy(), len(names)), "signature": np.tile(names, len(block)), "weight": h.T.ravel()})
+            at = [place.reindex(list(fs)).to_numpy() for fs in block["features"]]
+            known = [np.isfinite(a) for a in at]
+            values = [np.asarray(x, float)[ok] for x, ok in zip(block["values"], known, strict=True)]
+            v = dense_block([a[ok].astype(int) for a, ok in zip(at, known, strict=True)], values, len(dense))
+            yield long_weights(block["sample"], names, apply_fixed(v, dense, begin, rounds)).drop(columns="sig_ord")
 
     return samples.select("sample", "features", "values").mapInPandas(run, "sample string, signature string, weight double")
