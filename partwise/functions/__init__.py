@@ -1 +1 @@
-
+"""Column functions over labels and names."""
