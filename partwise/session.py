@@ -83,6 +83,12 @@ def remove(spark: SparkSession, path: str) -> None:
     system.delete(place, True)
 
 
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the application ends."""
+    place, system = _place(spark, path)
+    system.deleteOnExit(place)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of tables that ``cut`` wrote, once nothing will read them any more."""
     for table in tables:
