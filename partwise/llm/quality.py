@@ -4,11 +4,14 @@ The base counts are column expressions over the whole text.  The verdict comes
 from minimum-covariance-determinant (MCD) estimates: documents that pass the
 limits are described by five logarithmic statistics in fixed point; for each
 (language, source) the subset of about ``HALF`` of the documents with the
-smallest covariance determinant is approached by concentration steps from a
-median/MAD start; a document goes if its Mahalanobis distance from that
-subset's mean, under its covariance, exceeds ``CUTOFF``.
-
-Every step is one aggregation to (group, distance bin) with sums of integers,
+smallest covariance determinant is sought as FAST-MCD does (Rousseeuw and Van
+Driessen 1999): from ``STARTS`` deterministic starts, medians and MADs first and
+the others subsets drawn by a hash, two concentration steps each; the start of least
+determinant goes on until a step lowers the determinant no more.  Then the usual
+reweighting: mean and covariance of all documents within the 0.975 quantile.  A
+document goes if its Mahalanobis distance from them exceeds ``CUTOFF``.
+
+Every step is one aggregation to (group, start, distance bin) with sums of integers,
 so results don't depend on the order of rows, no group is gathered, and only
 sums over at most ``BINS`` bins a group meet in a task.  The subset of a step
 is all rows up to the bin that holds the wanted share.  Groups of fewer than
@@ -32,9 +35,16 @@ LEAST_WORDS = 20
 
 #: Statistics are whole multiples of 1/UNIT.
 UNIT = 1024
+DIMS = 5
 HALF = 0.75
-STEPS = 4
-LEAST = 60
+#: Starts, steps that each takes, and steps that the best one takes at most.
+STARTS = 10
+FIRST_STEPS = 2
+MOST_STEPS = 30
+#: A start but the first is the rows of one of so many hash classes.
+CLASSES = 9
+#: Rows that an estimate of its own needs: twelve a dimension, so that the subset has nine.  Smaller groups are judged by their language's.
+LEAST = 12 * DIMS
 BINS = 4096
 #: Consistency at the normal for five dimensions and a share of 0.75: 0.75 / P(chi2_7 <= 6.6257).
 CONSISTENT = 1.41
@@ -42,7 +52,9 @@ CONSISTENT = 1.41
 FLOORS = (0.25, 0.01, 0.25, 1.0, 1.0)
 #: Squared distance beyond which a document goes: the 0.999 quantile of chi-square with five degrees.
 CUTOFF = 20.515
-DIMS = 5
+#: Squared distance within which rows count at last, the 0.975 quantile, and consistency for that: 0.975 / P(chi2_7 <= 12.833).
+INNER = 12.833
+INNER_CONSISTENT = 1.0556
 
 
 def base_counts(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
@@ -128,13 +140,16 @@ def squared_distance(prefix: str = "") -> Column:
     return sum((z * z for z in solved[1:]), solved[0] * solved[0])
 
 
-def factored(groups: DataFrame) -> DataFrame:
-    """Means and Cholesky factor of each pool's covariance from ``n, s_i, s_ij``; the floors keep it definite."""
+PARAMS = [f"m{i}" for i in range(DIMS)] + [f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)]
+
+
+def factored(groups: DataFrame, consistent: float = CONSISTENT) -> DataFrame:
+    """Means, Cholesky factor and logarithm of the determinant of each (pool, start)'s covariance from ``n, s_i, s_ij``; the floors keep it definite."""
     n = F.col("n")
     out = groups.withColumns({f"m{i}": F.col(f"s{i}") / n for i in range(DIMS)})
     out = out.withColumns(
         {
-            f"c{i}{j}": (F.col(f"s{i}{j}") / n - F.col(f"m{i}") * F.col(f"m{j}")) * (CONSISTENT / UNIT**2) + F.lit(FLOORS[i] if i == j else 0.0)
+            f"c{i}{j}": (F.col(f"s{i}{j}") / n - F.col(f"m{i}") * F.col(f"m{j}")) * (consistent / UNIT**2) + F.lit(FLOORS[i] if i == j else 0.0)
             for i in range(DIMS)
             for j in range(i + 1)
         }
@@ -151,11 +166,23 @@ def factored(groups: DataFrame) -> DataFrame:
                 inner = inner + F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             below[f"l{i}{j}"] = (F.col(f"c{i}{j}") - inner) / F.col(f"l{j}{j}")
         out = out.withColumns(below) if below else out
-    return out.select("pool", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)])
+    return out.select("pool", "start", *PARAMS, determinant().alias("det"))
+
+
+def determinant() -> Column:
+    """The logarithm of the determinant of the covariance that a factor stands for."""
+    return sum((2 * F.log(f"l{i}{i}") for i in range(1, DIMS)), 2 * F.log("l00"))
+
+
+SUMS = {f"s{i}": f"x{i}" for i in range(DIMS)} | {f"s{i}{j}": f"x{i} * x{j}" for i in range(DIMS) for j in range(i + 1)}
 
 
-def start(rows: DataFrame) -> DataFrame:
-    """Medians and floored MADs of each pool as a diagonal factor.
+def summed() -> list[Column]:
+    return [F.count("*").alias("n"), *[F.sum(F.expr(v)).alias(k) for k, v in SUMS.items()]]
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """Factors to start from: medians and floored MADs of each pool, and the rows of one hash class, by their values, for each other start.
 
     Fixed-point values have a bounded number of distinct values, so the exact
     percentile's buffer of value counts is bounded too.
@@ -164,27 +191,50 @@ def start(rows: DataFrame) -> DataFrame:
     off = rows.join(small(middle), "pool").groupBy("pool").agg(*[F.percentile(F.round(F.abs(F.col(f"x{i}") - F.col(f"m{i}"))), 0.5).alias(f"d{i}") for i in range(DIMS)])
     scale = [F.sqrt(F.pow(F.col(f"d{i}") * (1.4826 / UNIT), 2) + FLOORS[i]).alias(f"l{i}{i}") for i in range(DIMS)]
     zero = [F.lit(0.0).alias(f"l{i}{j}") for i in range(DIMS) for j in range(i)]
-    return middle.join(off, "pool").select("pool", *[f"m{i}" for i in range(DIMS)], *scale, *zero)
+    first = middle.join(off, "pool").select("pool", F.lit(0).alias("start"), *[f"m{i}" for i in range(DIMS)], *scale, *zero)
+    drawn = rows.withColumn("start", F.pmod(F.xxhash64(*[f"x{i}" for i in range(DIMS)]), F.lit(CLASSES)).cast("int") + 1).where(F.col("start") < STARTS)
+    return first.select("pool", "start", *PARAMS, determinant().alias("det")).unionByName(factored(drawn.groupBy("pool", "start").agg(*summed())))
 
 
 def concentrated(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """One concentration step: from each pool's factor to that of its closest rows."""
-    d2 = rows.join(small(params), "pool").withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.log2(squared_distance() + 1) * 128)).cast("int"))
-    sums = {f"s{i}": F.sum(f"x{i}") for i in range(DIMS)} | {f"s{i}{j}": F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i in range(DIMS) for j in range(i + 1)}
-    binned = d2.groupBy("pool", "bin").agg(F.count("*").alias("n"), *[v.alias(k) for k, v in sums.items()])
-    up = Window.partitionBy("pool").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy("pool")
+    """One concentration step: from each (pool, start)'s factor to that of its closest rows."""
+    d2 = rows.join(small(params.drop("det")), "pool").withColumn("bin", F.least(F.lit(BINS - 1), F.floor(F.log2(squared_distance() + 1) * 128)).cast("int"))
+    binned = d2.groupBy("pool", "start", "bin").agg(*summed())
+    every = Window.partitionBy("pool", "start")
+    up = every.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     binned = binned.withColumn("before", F.coalesce(F.sum("n").over(up), F.lit(0))).withColumn("all", F.sum("n").over(every))
     close = binned.where(F.col("before") < F.ceil(F.col("all") * HALF))
-    return factored(close.groupBy("pool").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in sums]))
+    return factored(close.groupBy("pool", "start").agg(*[F.sum(k).alias(k) for k in ("n", *SUMS)]))
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """The factor of each pool after the last step."""
-    params = cut(start(rows))
-    for _ in range(STEPS):
+def least(params: DataFrame) -> DataFrame:
+    """Of each pool's factors the one of least determinant."""
+    columns = ["start", *PARAMS, "det"]
+    best = params.groupBy("pool").agg(F.min_by(F.struct(*columns), F.struct("det", "start")).alias("best"))
+    return best.select("pool", *[F.col(f"best.{c}").alias(c) for c in columns])
+
+
+def least_determinants(rows: DataFrame) -> DataFrame:
+    """The factor of least determinant that steps from all starts come to."""
+    params = cut(starts(rows))
+    for _ in range(FIRST_STEPS):
         params = cut(concentrated(rows, params))
-    return params
+    best = cut(least(params))
+    for _ in range(MOST_STEPS):
+        stepped = cut(least(best.unionByName(concentrated(rows, best))))
+        lower = stepped.select("pool", F.col("det").alias("now")).join(best.select("pool", "det"), "pool").where(F.col("now") < F.col("det") - 1e-9)
+        settled = lower.isEmpty()
+        best = stepped
+        if settled:
+            break
+    return best
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """The reweighted factor of each pool."""
+    raw = least_determinants(rows)
+    inner = rows.join(small(raw.drop("det")), "pool").where(squared_distance() <= INNER)
+    return cut(factored(inner.groupBy("pool", "start").agg(*summed()), INNER_CONSISTENT).drop("det", "start"))
 
 
 def fit(counts: DataFrame) -> DataFrame:
@@ -220,6 +270,9 @@ def judged(docs: DataFrame) -> DataFrame:
 def passed(docs: DataFrame) -> DataFrame:
     """The rows that are kept, with the input's columns.
 
+    Null and blank texts go; null languages and sources are values of their own; repeated rows are judged
+    alike; an empty table gives an empty result.
+
     The model is fitted on the counts alone; then the texts are read once more,
     counted and judged row by row, so no text is shuffled.
     """
