@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partwise.session import shared_dir
+from partwise.llm.common import small
+from partwise.session import cut, remove_at_end, shared_dir
 
 # Fixed values of the format.
 END = "\r\n\r\n"
@@ -32,8 +33,12 @@ PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 #: Payloads shorter than this are always stored.
 LEAST_REVISIT = 1_000
-#: Pages in an archive file, at most.
-PAGES_PER_FILE = 2_000
+#: Parts over which rows of one digest are dealt.
+SPREAD = 16
+#: Bytes in an archive file before compression, at most, unless a single capture has more.
+FILE_BYTES = 128 << 20
+#: Pages up to this size are written together; larger ones apart, in files of fewer.
+SMALL_PAGE = 64 << 10
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -55,14 +60,25 @@ def revisited(pages: DataFrame) -> DataFrame:
     return ids.where("first <> last or n <> m").where("first is not null").select("digest", "first", F.concat(F.lit("urn:page:"), F.col("first").cast("string"), F.lit(":"), "top.mark").alias("first_id"))
 
 
-def records(pages: DataFrame) -> DataFrame:
+def decided(pages: DataFrame) -> DataFrame:
+    """``(row_id, row_mark, first, first_id)`` of the rows, known by page id and mark, whose payload other ids have: digests and ids are joined, no body.
+
+    Rows of one digest are dealt over ``SPREAD`` parts, to each of which the digest's one decision goes.
+    """
+    rows = pages.where(F.octet_length(F.coalesce("html", F.lit(""))) >= LEAST_REVISIT).select(F.sha1(payload()).alias("digest"), F.col("page_id").alias("row_id"), mark().alias("row_mark"))
+    parts = revisited(pages).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("row_id", "row_mark"), F.lit(SPREAD)).cast("int"))
+    return dealt.join(parts, ["digest", "part"]).select("row_id", "row_mark", "first", "first_id").distinct()
+
+
+def records(pages: DataFrame, decisions: DataFrame) -> DataFrame:
     """One column ``value``: the text of each record, without its end.
 
     Rows that repeat an id and payload are all responses, or all revisits of one
     larger id.  A null id counts as the least, and its metadata names no page.
+    Decisions meet pages by id and mark, so pages of one payload don't gather.
     """
     body = F.coalesce("html", F.lit(""))
-    firsts = revisited(pages)
     page = pages.select(
         "page_id",
         F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ").alias("url"),
@@ -70,7 +86,7 @@ def records(pages: DataFrame) -> DataFrame:
         F.octet_length(body).alias("size"),
         F.sha1(payload()).alias("sha"),
         mark().alias("mark"),
-    ).join(firsts, F.col("sha") == F.col("digest"), "left")
+    ).join(decisions, F.col("page_id").eqNullSafe(F.col("row_id")) & (F.col("mark") == F.col("row_mark")), "left")
     old = F.col("first").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") != F.col("first"))) & (F.col("size") >= LEAST_REVISIT)
     name = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
     page = page.withColumn("old", old).withColumn("id", F.concat(F.lit("urn:page:"), name, F.lit(":"), "mark"))
@@ -101,8 +117,19 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write(pages: DataFrame, folder: str) -> None:
-    """Write the pages' records as gzipped archives into a new folder."""
-    records(pages).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", 3 * PAGES_PER_FILE).text(folder)
+    """Write the pages' records as gzipped archives into a new folder.
+
+    Spark bounds files by rows; small pages go by so many rows that their bytes are bounded, and larger
+    ones, if there are any, by so many as the largest allows.
+    """
+    pages = pages.select("page_id", "url", "html")
+    decisions = small(cut(decided(pages)))
+    size = F.octet_length(F.coalesce("html", F.lit(""))) + F.octet_length(F.coalesce("url", F.lit(""))) * 4
+    largest = pages.agg(F.max(size)).first()[0] or 0
+    for name, part, most in (("small", size <= SMALL_PAGE, SMALL_PAGE), ("large", size > SMALL_PAGE, largest)):
+        if most >= SMALL_PAGE and (name == "small" or largest > SMALL_PAGE):
+            rows = 3 * max(1, FILE_BYTES // (most + 4096))
+            records(pages.where(part), decisions).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", rows).text(f"{folder}/{name}")
 
 
 def parsed(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -153,7 +180,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", True).load(folder).select("content")
     return files.mapInArrow(run, RECORD)
 
 
@@ -193,10 +220,16 @@ def assemble(rows: DataFrame) -> DataFrame:
 
 
 def transactions(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write the pages' archives (into the shared folder, if none is named), read them back and assemble them."""
+    """Write the pages' archives (into the shared folder, if none is named, until the application ends), read them back and assemble them.
+
+    Null and empty payloads are stored as such, null urls as empty; pages of any size; an empty table gives an
+    empty result; other columns are ignored whatever their names.
+    """
     spark = pages.sparkSession
     at = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write(pages, at)
+    if folder is None:
+        remove_at_end(spark, at)
     return assemble(read(spark, at))
 
 
