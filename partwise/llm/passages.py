@@ -10,8 +10,9 @@ transforms of shards of them (see ``bwt``): a merged block of rows with a common
 prefix of ``LENGTH`` bytes is a repeated window.  The comparison is exact; the
 identity of fragments rests on 128 bits of hash.
 
-Nothing is gathered but what one document holds and the distinct fragments of
-one anchor.  Rows are known by a hash of id and text, so ids need not be unique.
+Nothing is gathered but what one document holds and ``CROWD`` distinct fragments of
+one anchor, twice; an anchor with more has them dealt to blocks, of which each is
+compared with itself and every other.  Rows are known by a hash of id and text, so ids need not be unique.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partwise.llm.bwt import Q, Shard, repeated
-from partwise.llm.common import mix64
+from partwise.llm.common import mix64, small
 from partwise.llm.neardup import _BASE, _table, first_of_runs, grouped
 from partwise.session import cut, release
 
@@ -35,6 +36,8 @@ GRAM = 40
 SPAN = LENGTH - GRAM + 1
 #: Bytes that are cut into fragments at a time.
 SLICE = 1 << 20
+#: Distinct fragments of an anchor that are compared as one block.
+CROWD = 500
 #: Bytes in a shard.
 SHARD = 1 << 19
 
@@ -110,8 +113,8 @@ def occurrences(docs: DataFrame) -> DataFrame:
 
 
 def contents(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(anchor, content, shape, bytes)`` of fragments ``(anchor, content, doc, place)``, cut from their documents."""
-    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "content", "place")).alias("found"))
+    """``(anchor, content, shape, bytes, blocks)`` of fragments ``(anchor, content, doc, place, blocks)``, cut from their documents."""
+    lists = wanted.groupBy("doc").agg(F.collect_list(F.struct("anchor", "content", "place", "blocks")).alias("found"))
     joined = docs.select("doc", "text").join(lists, "doc").select("text", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,28 +129,28 @@ def contents(wanted: DataFrame, docs: DataFrame) -> DataFrame:
                 first = offsets[owner] + (place >> 16)
                 stop = first + (place & 0xFF) + LENGTH
                 body = [raw[a:b].tobytes() for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([flat.field(0), flat.field(1), pa.array((place & 0xFFFF).astype(np.int32)), pa.array(body, pa.binary())], names=["anchor", "content", "shape", "bytes"])
+                yield pa.RecordBatch.from_arrays([flat.field(0), flat.field(1), pa.array((place & 0xFFFF).astype(np.int32)), pa.array(body, pa.binary()), flat.field(3)], names=["anchor", "content", "shape", "bytes", "blocks"])
 
-    return joined.mapInArrow(run, "anchor long, content long, shape int, bytes binary")
+    return joined.mapInArrow(run, "anchor long, content long, shape int, bytes binary, blocks long")
 
 
 def compared(parts: DataFrame) -> DataFrame:
     """``(anchor, content, shape, low, high)``: runs of windows of fragments that another fragment of the anchor has too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in grouped(batches, 1):
-            anchor, content, shape = (table.column(k).to_numpy() for k in range(3))
+        for table in grouped(batches, 3):
+            anchor, low, high, content, shape = (table.column(k).to_numpy() for k in range(5))
             again = np.zeros(len(anchor), bool)
-            again[1:] = (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1]) & (shape[1:] == shape[:-1])
+            again[1:] = (anchor[1:] == anchor[:-1]) & (low[1:] == low[:-1]) & (high[1:] == high[:-1]) & (content[1:] == content[:-1]) & (shape[1:] == shape[:-1])
             table = table.filter(pa.array(~again))
-            anchor, content, shape = anchor[~again], content[~again], shape[~again]
-            strings = table.column(3).to_pylist()
+            anchor, low, high, content, shape = (c[~again] for c in (anchor, low, high, content, shape))
+            strings = table.column(5).to_pylist()
             sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-            groups = first_of_runs(anchor)
+            groups = first_of_runs(anchor, low, high)
             filled = np.concatenate([[0], np.cumsum(sizes)])
             at = 0
             while at < len(groups) - 1:
-                # As many anchors as fit two shards are compared together; an anchor is never split.
+                # As many anchors, or pairs of their blocks, as fit two shards are compared together.
                 stop = at + 1
                 while stop < len(groups) - 1 and filled[groups[stop + 1]] - filled[groups[at]] <= 2 * SHARD:
                     stop += 1
@@ -155,16 +158,24 @@ def compared(parts: DataFrame) -> DataFrame:
                 at = stop
                 if hi - lo < 2:
                     continue
-                found = shared_windows(strings[lo:hi])
+                pick = np.arange(lo, hi)
+                if high[lo:hi].any():
+                    # A fragment is in several pairs of its anchor's blocks; met twice it would be its own repeat.
+                    keys = np.stack([anchor[lo:hi], content[lo:hi], shape[lo:hi].astype(np.int64)], axis=1)
+                    pick = lo + np.sort(np.unique(keys, axis=0, return_index=True)[1])
+                found = shared_windows([strings[k] for k in pick])
                 if len(found[0]):
-                    who = found[0] + lo
+                    who = pick[found[0]]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(anchor[who]), pa.array(content[who]), pa.array(shape[who]), pa.array(found[1].astype(np.int32)), pa.array(found[2].astype(np.int32))],
                         names=["anchor", "content", "shape", "low", "high"],
                     )
 
-    ordered = parts.repartition("anchor").sortWithinPartitions("anchor", "content", "shape")
-    return ordered.mapInArrow(run, "anchor long, content long, shape int, low int, high int")
+    block = F.pmod(F.xxhash64("content", "shape"), F.col("blocks"))
+    dealt = parts.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = dealt.select("anchor", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "content", "shape", "bytes")
+    ordered = cells.repartition("anchor", "low", "high").sortWithinPartitions("anchor", "low", "high", "content", "shape")
+    return ordered.mapInArrow(run, "anchor long, content long, shape int, low int, high int").distinct()
 
 
 def shared_windows(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,7 +228,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     key = ["anchor", "content", "shape"]
     distinct = twice.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("at"), F.first("mixed").alias("mixed"))
     distinct = cut(distinct.where("n > 1 or mixed"))
-    single = distinct.where("mixed").select("anchor", "content", "at.doc", "at.place")
+    crowds = distinct.where("mixed").groupBy("anchor").agg(F.ceil(F.count("*") / CROWD).alias("blocks")).where("blocks > 1")
+    single = distinct.where("mixed").join(small(cut(crowds)), "anchor", "left").select("anchor", "content", "at.doc", "at.place", F.coalesce("blocks", F.lit(1).cast("long")).alias("blocks"))
     partial = cut(compared(contents(single, docs)))
     release(spark)
     whole = distinct.where("n > 1").select(*key, F.lit(0).alias("low"), F.col("shape").bitwiseAND(0xFF).alias("high"))

@@ -6,6 +6,7 @@ import collections
 import gzip
 import hashlib
 import io
+import itertools
 import re
 import zlib
 
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from partwise.llm import bpe, bwt, langid, mixing, neardup, passages, quality, secrets, topk, urls, warc
+from partwise.session import cut
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -191,7 +193,7 @@ PAGES = "page_id long, url string, html string"
 def test_archives(spark, tmp_path):
     big = "<p>" + "é" * 600 + "\r\n\r\nWARC/1.0\r\n</p>"
     rows = [(1, "http://a/", big), (2, "http://b/\r\nX: y", big), (3, None, None), (4, "u", "short"), (5, "u", "short"), (9, "http://c/", big), (9, "http://c/", big), (None, "n", big)]
-    frame = spark.createDataFrame(rows, PAGES)
+    frame = spark.createDataFrame(rows, PAGES).withColumns({k: F.lit(1) for k in ("mark", "first", "digest", "size", "body", "value", "row_id")})
     folder = str(tmp_path / "w")
     got = warc.digests(warc.transactions(frame, folder)).collect()
     assert len(got) == len(rows)
@@ -205,6 +207,17 @@ def test_archives(spark, tmp_path):
     assert warc.digests(warc.transactions(spark.createDataFrame([], PAGES), str(tmp_path / "e"))).count() == 0
 
 
+def test_files_are_bounded_by_bytes(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SMALL_PAGE", 2_000)
+    monkeypatch.setattr(warc, "FILE_BYTES", 40_000)
+    rows = [(i, f"http://a/{i}", prose(i, 20 if i % 4 else 2_000)) for i in range(40)] + [(100 + i, "http://b/", "same " * 400) for i in range(30)]
+    got = {r["page_id"]: r for r in warc.digests(warc.transactions(spark.createDataFrame(rows, PAGES).coalesce(1), str(tmp_path / "w"))).collect()}
+    assert len(got) == 70 and all(got[i]["payload_digest"] == hashlib.sha1(t.encode()).hexdigest() for i, _, t in rows)
+    assert all(got[100 + i]["refers_to"] == 129 for i in range(29)) and got[129]["record_type"] == "response"
+    sizes = [len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "w").rglob("*.gz")]
+    assert len(sizes) > 10 and max(sizes) < 60_000
+
+
 def test_cut_off_archive():
     stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(gzip.compress(b"WARC/1.0\r\nWARC-Type: metadata\r\nContent-Length: 9\r\n\r\nabc"))))
     with pytest.raises(ValueError):
@@ -229,34 +242,45 @@ def test_base_counts(spark, docs):
         assert r["q_base_failed"] == (n[0] < 20 or 100 * n[4] > 30 * n[0])
 
 
-def mcd_by_hand(x):
-    """The documented estimator in NumPy: start, steps, distance."""
-    floors = np.array(quality.FLOORS)
-    mid = np.median(x, axis=0)
-    mad = np.median(np.round(np.abs(x - mid)), axis=0)
-    mean, cov = mid, np.diag((mad * 1.4826 / quality.UNIT) ** 2 + floors)
-    for _ in range(quality.STEPS):
-        z = (x - mean) / quality.UNIT
-        d2 = np.einsum("ij,jk,ik->i", z, np.linalg.inv(cov), z)
-        bins = np.minimum(quality.BINS - 1, np.floor(np.log2(d2 + 1) * 128))
-        need = int(np.ceil(len(x) * quality.HALF))
-        close = x[bins <= np.sort(bins)[need - 1]]
-        mean, cov = close.mean(axis=0), np.cov(close.T, bias=True) * (quality.CONSISTENT / quality.UNIT**2) + np.diag(floors)
-    z = (x - mean) / quality.UNIT
-    return np.einsum("ij,jk,ik->i", z, np.linalg.inv(cov), z)
+def least_by_hand(x, size):
+    """The least logarithm of a determinant over all subsets of a size."""
+    every = np.array(list(itertools.combinations(range(len(x)), size)))
+    return min(np.linalg.slogdet(np.cov(x[list(c)].T, bias=True) * (quality.CONSISTENT / quality.UNIT**2) + np.diag(quality.FLOORS))[1] for c in every)
+
+
+def test_least_determinant_of_all_subsets(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for pool in range(6):
+        x = np.round(rng.normal(size=(16, 5)) * 1024 * [1.5, 0.3, 1.2, 2.0, 2.5])
+        x[:4] += np.round(rng.normal(size=(4, 5)) * 4000)
+        rows += [(str(pool), *map(int, r)) for r in x]
+    frame = spark.createDataFrame(rows, "pool string, " + ", ".join(f"x{i} long" for i in range(5)))
+    got = {r["pool"]: r["det"] for r in quality.least_determinants(frame).collect()}
+    for pool, det in got.items():
+        x = np.array([r[1:] for r in rows if r[0] == pool], float)
+        assert det <= least_by_hand(x, 12) + 0.35
+    assert sum(det <= least_by_hand(np.array([r[1:] for r in rows if r[0] == p], float), 12) + 1e-6 for p, det in got.items()) >= 4
 
 
 def test_outliers(spark, docs, empty):
-    rows = [(i, prose(i, 40 + i), "en", "s", 0) for i in range(150)] + [(900, " ".join([f"#|$%&*<>{i}" for i in range(40)] + [prose(9, 30)]), "en", "s", 0)]
+    odd = " ".join([f"#|$%&*<>{i}" for i in range(40)] + [prose(9, 30)])
+    rows = [(i, prose(i, 40 + i), "en", "s", 0) for i in range(150)] + [(900, odd, "en", "s", 0)]
+    rows += [(1000 + i, prose(i, 60), "de", "t", 0) for i in range(quality.LEAST - 1)] + [(2000 + i, prose(i, 60 + i), "de", "u", 0) for i in range(quality.LEAST)]
+    long = prose(4, 60_000)
+    rows += [(3000, long, "en", "s", 0)]
     frame = spark.createDataFrame(rows, DOCS)
     got = {r["doc_id"]: r for r in quality.judged(frame).collect()}
-    assert not got[900]["kept"] and all(got[i]["kept"] for i in range(150))
-    x = np.array([[r[f"x{k}"] for k in range(5)] for r in frame.transform(quality.base_counts).select("doc_id", *quality.described()).orderBy("doc_id").collect()], float)
-    assert np.allclose(mcd_by_hand(x), [got[i]["distance2"] for i in sorted(got)], rtol=1e-6)
+    assert len(got) == len(rows) and got[3000]["n_words"] == 60_000
+    assert not got[900]["kept"] and sum(got[i]["kept"] for i in range(150)) >= 148
+    counts = cut(quality.base_counts(frame.select("lang", "source", "text")).drop("text"))
+    pools = {r["fine_pool"]: r["pool"] for r in quality.pooled(counts.where("not base_failed").select("lang", "source", *quality.described()))[1].collect()}
+    assert pools["2=en\x01=s"] == "2=en\x01=s" and pools["2=de\x01=u"] == "2=de\x01=u" and pools["2=de\x01=t"] == "1=de"
     assert quality.judged(docs).count() == len(odd_rows()) and quality.judged(empty).count() == 0
     passed = quality.passed(docs)
     assert passed.columns == docs.columns and passed.where("text is null").count() == 0
     assert quality.chi2_share(6.6257, 7) == pytest.approx(quality.HALF / quality.CONSISTENT, abs=0.01)
+    assert quality.chi2_share(quality.INNER, 7) == pytest.approx(0.975 / quality.INNER_CONSISTENT, abs=0.002)
 
 
 def test_languages(spark, docs, empty, sf_dir):
@@ -333,6 +357,16 @@ def test_passages(spark, docs, empty):
     assert passages.removed(empty).count() == 0
 
 
+def test_crowded_anchors_are_compared_block_by_block(spark, monkeypatch):
+    monkeypatch.setattr(passages, "CROWD", 3)
+    shared = prose(700, 40)[:170]
+    rng = np.random.default_rng(2)
+    rows = [(i, prose(800 + i, 12) + shared + "".join(rng.choice(list("ab"), 45)) + prose(900 + i, 12)) for i in range(40)]
+    rows += [(100 + i, prose(950 + i, 9) + t[40:330] + "!" * i) for i, t in rows[:12]]
+    got = sorted(tuple(r) for r in passages.removed(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted((i, *w) for (i, _), w in zip(rows, removed_by_hand(rows), strict=True))
+
+
 def test_merged_transforms_find_what_sorting_finds():
     rng = np.random.default_rng(2)
     strings = [bytes(rng.integers(97, 99, 60).astype(np.uint8)) for _ in range(12)]
