@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partwise.kernels import nmf, small
+from partwise.session import cut
 
 
 def positions(x: DataFrame, axis: str, shuffles: int, seed: int = 0) -> DataFrame:
@@ -97,6 +98,8 @@ def cross_validate(cells: DataFrame, ranks: list[int], alphas: list[float] = (0.
     first: a (shuffle, fold, rank) with the blocks of the shuffle's labels, of which each runs its alphas.
     """
     spark = cells.sparkSession
+    # Read several times from here on.
+    cells = cut(cells)
     lowest = cells.agg(F.min("shuffle")).first()[0]
     features, samples, m = dense_matrix(cells.where(F.col("shuffle") == lowest))
     sent = spark.sparkContext.broadcast((pd.Series(range(len(features)), index=features), pd.Series(range(len(samples)), index=samples), m))

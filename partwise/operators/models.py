@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from partwise.kernels import nmf, small
 from partwise.operators.holdout import dense_matrix
-from partwise.session import cut
+from partwise.session import cut, discard
 
 #: Weights of a model that a task may hold.
 MOST_WEIGHTS = 50_000_000
@@ -21,10 +21,12 @@ MOST_WEIGHTS = 50_000_000
 
 def held(w: DataFrame) -> tuple[list[str], list[str], np.ndarray]:
     """Features, signatures in order and the dense weights of a model; ``ValueError`` if it is too large for a task."""
+    w = cut(w.select("feature", "signature", "sig_ord", "weight"))
     shape = w.agg(F.count_distinct("feature").alias("m"), F.count_distinct("signature").alias("k")).first()
     if shape["m"] * shape["k"] > MOST_WEIGHTS:
         raise ValueError("the model is too large to be sent to tasks; use transform_joined")
-    rows = w.select("feature", "signature", "sig_ord", "weight").toPandas()
+    rows = w.toPandas()
+    discard(w)
     names = rows[["sig_ord", "signature"]].drop_duplicates().sort_values("sig_ord")["signature"].tolist()
     dense = rows.pivot(index="feature", columns="signature", values="weight").fillna(0.0).sort_index()[names]
     return dense.index.tolist(), names, dense.to_numpy(float)

@@ -372,7 +372,7 @@ rm AS (SELECT shuffle, fold, 1 - sum((value - fitted) * (value - fitted)) / (var
 
 
 def cells(spark, d):
-    return holdout.split(m1(spark, d), 2)
+    return holdout.split(inputs.held_brands(spark, d), 2)
 
 
 @query(SHUFFLE + " SELECT shuffle, feature, CAST(pos AS INTEGER) AS pos FROM fp")
