@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from partwise.llm.common import pieces
 from partwise.session import cut
 
 # The rules' patterns, kinds in order, and lengths.
@@ -46,6 +47,8 @@ TRIGGERS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 #: At most so many distinct credentials of a kind are learned from, those of least hash.
 SAMPLE_CREDENTIALS = 2_000
+#: Characters whose digrams are counted at a time.
+STRETCH = 1 << 18
 ALPHA = 0.01
 LEAST_BITS = 1.5
 
@@ -86,11 +89,15 @@ _WIDE_BLANKS = np.array([i for i in range(128, 0x3001) if chr(i).isspace()], np.
 
 def digrams(texts: list[str]) -> np.ndarray:
     """How often each pair of classes follows one another in the texts' words, as 128 * first + second; a word's edge is 32."""
-    points = np.frombuffer(" ".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = _CODES[np.minimum(points, 128)]
-    far = np.flatnonzero(codes == 127)
-    codes[far[np.isin(points[far], _WIDE_BLANKS)]] = 32
-    pairs = np.bincount(codes[:-1].astype(np.int64) * 128 + codes[1:], minlength=128 * 128)
+    joined = " ".join(["", *texts, ""])
+    pairs = np.zeros(128 * 128, np.int64)
+    for at in range(0, len(joined) - 1, STRETCH):
+        # Stretches share a character, so that no pair is lost between them.
+        points = np.frombuffer(joined[at : at + STRETCH + 1].encode("utf-32-le", "surrogatepass"), np.uint32)
+        codes = _CODES[np.minimum(points, 128)]
+        far = np.flatnonzero(codes == 127)
+        codes[far[np.isin(points[far], _WIDE_BLANKS)]] = 32
+        pairs += np.bincount(codes[:-1].astype(np.int64) * 128 + codes[1:], minlength=128 * 128)
     pairs[32 * 128 + 32] = 0
     return pairs
 
@@ -282,7 +289,7 @@ def learn(docs: DataFrame, most: int = SAMPLE_CREDENTIALS) -> Formats:
         counts: Counter[tuple[str, str]] = Counter()
         pairs = np.zeros(128 * 128, np.int64)
         size = 0
-        for batch in batches:
+        for batch in pieces(batches, 0):
             ordinary: list[str] = []
             held = 0
             for text in batch.column(0).to_pylist():
@@ -293,7 +300,7 @@ def learn(docs: DataFrame, most: int = SAMPLE_CREDENTIALS) -> Formats:
                     size += len(word)
                 ordinary.append(outside(text, spans) if spans else text)
                 held += len(text)
-                if held > 1 << 20:
+                if held > STRETCH:
                     pairs += digrams(ordinary)
                     ordinary, held = [], 0
                 if len(counts) > 200_000 or size > 1 << 24:
@@ -347,7 +354,7 @@ def scan(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
     learned = formats or learn(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 1):
             counts: list[list[int]] = [[], [], []]
             digests, spans, learnt, alone = [], [], [], []
             for text in batch.column(1).to_pylist():
@@ -380,7 +387,7 @@ def redact(docs: DataFrame, mark: str = "[secret]", formats: Formats | None = No
     place, chars = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, place):
             columns = list(batch.columns)
             texts = columns[place].to_pylist()
             sizes = columns[chars].to_pylist() if chars is not None else []
