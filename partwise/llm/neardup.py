@@ -480,22 +480,33 @@ def block_links(nodes: DataFrame) -> DataFrame:
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Loose links of all classes ``(id, sketch, nodes)``: small nodes are compared in full, nodes too large for a task meet pivots and branch on."""
+    """Loose links of all classes ``(id, sketch, nodes)``: small nodes are compared in full, nodes too large for a task meet pivots and branch on.
+
+    Most nodes hold one record, which has nobody to meet there; only records of
+    nodes with more take their sketches along.
+    """
 
     def counted(nodes: DataFrame) -> DataFrame:
-        """Nodes too large for a task, with their size and number of chunks; without those that are connected already."""
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), (F.min("held") != F.max("held")).alias("open")).where(F.col("n") > CHUNK)
-        return cut(sizes.withColumn("m", F.ceil(F.col("n") / CHUNK)))
+        """Size and number of chunks of nodes that are too large for a task or hold records that aren't connected yet (``open``)."""
+        sizes = nodes.groupBy("node").agg(F.count("*").alias("n"), (F.min("held") != F.max("held")).alias("open"))
+        return cut(sizes.where((F.col("n") > CHUNK) | F.col("open")).withColumn("m", F.ceil(F.col("n") / CHUNK)))
 
-    nodes = classes.select(F.explode("nodes").alias("node"), "id", F.col("id").alias("held"), "sketch")
+    # Rows that repeat an id have sketches of their own.
+    own = classes.withColumns({"held": F.col("id"), "record": F.xxhash64("id", "sketch")})
+    nodes = own.select(F.explode("nodes").alias("node"), "record", "id", "held", "sketch")
     found = []
     for turn in range(TURNS + 1):
-        large = counted(nodes)
-        if large.isEmpty():
-            found.append(loose_links(nodes))
+        sizes = counted(nodes)
+        large = sizes.where(F.col("n") > CHUNK)
+        some = not large.isEmpty()
+        few = nodes.join(small(large.select("node")), "node", "left_anti") if some else nodes
+        if turn == 0:
+            met = few.select("node", "record").join(sizes.where(F.col("n") <= CHUNK).select("node"), "node")
+            few = met.join(own.select("record", "id", "held", "sketch"), "record")
+        found.append(loose_links(few))
+        if not some:
             break
-        found.append(loose_links(nodes.join(small(large.select("node")), "node", "left_anti")))
-        rest = nodes.join(small(large.where("open").drop("open")), "node")
+        rest = nodes.join(small(large.where("open").drop("open")), "node").drop("record")
         if turn == TURNS:
             found.append(block_links(rest))
             break
