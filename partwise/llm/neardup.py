@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partwise.llm.common import mix64, small
-from partwise.llm.graph import components
+from partwise.llm.graph import components, settle
 from partwise.session import cut, discard
 
 #: Minwise values in a sketch, of which it has four bits each.
@@ -323,22 +323,6 @@ def first_of_runs(*keys: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(change), n)
 
 
-def settle(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least member of each of n records' components under links (a, b)."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def all_pairs(sizes: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Every pair within each of many small runs."""
     a, b = [], []

@@ -661,3 +661,22 @@ def test_pipeline_stages(spark, sf_dir):
         assert out.columns == docs.columns
     last = corpus_pipeline.encode_texts(spark, docs, sf_dir)
     assert last.count() == 60 and "token_ids" in last.columns
+
+
+def test_components_take_few_steps_and_agree_however_many_edges_a_task_takes(spark, monkeypatch):
+    """A long path would take a dozen rounds; what fits one task takes one, and rounds before it change nothing."""
+    from partwise.llm import graph
+
+    rng = np.random.default_rng(5)
+    ids = rng.permutation(4_000) * 7 - 9_000
+    path = list(zip(ids[:3_000].tolist(), ids[1:3_001].tolist(), strict=True))
+    star = [(int(ids[3_100]), int(x)) for x in ids[3_101:3_900]]
+    edges = spark.createDataFrame([*path, *star, (1, 1), (None, 2)], "a long, b long").repartition(4)
+    want = {int(x): int(ids[:3_001].min()) for x in ids[:3_001]} | {int(x): int(ids[3_100:3_900].min()) for x in ids[3_100:3_900]}
+    cuts = []
+    monkeypatch.setattr(graph, "cut", lambda df, old=graph.cut: cuts.append(1) or old(df))
+    assert {r["id"]: r["component"] for r in graph.components(edges).collect()} == want
+    assert len(cuts) <= 3
+    monkeypatch.setattr(graph, "FEW", 1_500, raising=False)
+    assert {r["id"]: r["component"] for r in graph.components(edges).collect()} == want
+    assert len(cuts) > 6
