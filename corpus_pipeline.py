@@ -7,8 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from partwise.llm import bpe, mixing, neardup, quality, secrets
+from partwise.llm.common import small_batches
 from partwise.session import shared_dir
 
+#: Chunks and words that an encoding worker keeps: its executor holds what earlier stages left, too.
+KEPT = 150_000
+
 
 def pass_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the limits and not outlying in their language and source."""
@@ -17,11 +21,13 @@ def pass_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, similarity of 0.8 or more)."""
+    small_batches(spark)
     return neardup.deduplicated(docs, length=5, least=80)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced by a mark."""
+    small_batches(spark)
     return secrets.redact(docs)
 
 
@@ -32,7 +38,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document of the mix, with digests of the ids and of the text they decode to."""
-    return bpe.encode(docs.select("doc_id", "source", "text")).drop("text")
+    small_batches(spark)
+    return bpe.encode(docs.select("doc_id", "source", "text"), kept=KEPT).drop("text")
 
 
 STAGES = [

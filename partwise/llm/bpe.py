@@ -23,14 +23,18 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from partwise.llm.common import pieces
+
 # Unicode's White_Space characters, and the public byte-level word pattern.
 WHITE = "\t-\r \x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 
 #: Chunks no longer than this, in characters, are kept with their encodings.
 KEPT_CHUNK = 64
-#: At most about so many chunks, words and pairs are kept; a full table is emptied.
-KEPT = 1_200_000
+#: At most about so many chunks and words are kept in the newer of two tables each; a full one takes the older's place, which is dropped.
+KEPT = 600_000
+#: At most about so many pairs' verdicts are kept; a full table is emptied.
+KEPT_PAIRS = 1_200_000
 #: Texts encoded together.
 BATCH = 512
 
@@ -72,6 +76,9 @@ class Tokenizer:
         self.word_re = regex.compile(SPLIT)
         self.chunks: dict[str, str] = {}
         self.words: dict[str, str] = {}
+        self.kept = KEPT
+        self.older_chunks: dict[str, str] = {}
+        self.older_words: dict[str, str] = {}
         self.names = [str(i) for i in range(size)]
         self.bytes_by_name = dict(zip(self.names, self.bytes_of, strict=True))
         self.pair_keys = np.empty(0, np.int64)
@@ -266,7 +273,7 @@ class Tokenizer:
             sides = [(int(k) >> 32, int(k) & 0xFFFFFFFF) for k in distinct[new]]
             merged = self.merge_many([self.bytes_of[a] + self.bytes_of[b] for a, b in sides])
             fits[new] = [got == side for got, side in zip(merged, sides, strict=True)]
-            if len(self.pair_keys) + len(new) > KEPT:
+            if len(self.pair_keys) + len(new) > KEPT_PAIRS:
                 self.pair_keys, self.pair_fits = distinct, fits
             else:
                 every = np.concatenate([self.pair_keys, distinct[new]])
@@ -293,27 +300,28 @@ class Tokenizer:
 
     def _encode_chunks(self, chunks: list[str]) -> dict[str, str]:
         """For each distinct chunk its ids in decimal, joined by commas."""
-        known, names = self.words, self.names
+        if len(self.words) > self.kept:
+            self.older_words, self.words = self.words, {}
+        known, older, names = self.words, self.older_words, self.names
         parts = [self.word_re.findall(c) for c in chunks]
+        # A word that is a whole chunk is kept as that chunk.
+        inner = {w for p in parts if len(p) > 1 for w in p}
+        known.update((w, older[w]) for w in inner if w not in known and w in older)
         new = list({w for p in parts for w in p if w not in known})
-        if len(known) + len(new) > KEPT:
-            known.clear()
-            new = list({w for p in parts for w in p})
+        fresh = {}
         if new:
             raw = [w.encode("utf-8", "surrogatepass") for w in new]
             learnt = self.learn(raw)
-            known.update((w, ",".join([names[i] for i in learnt[r]])) for w, r in zip(new, raw, strict=True))
-        out = {c: known[p[0]] if len(p) == 1 else ",".join([known[w] for w in p]) for c, p in zip(chunks, parts, strict=True)}
-        for w in new:
-            if len(w) > KEPT_CHUNK:
-                del known[w]
+            fresh = {w: ",".join([names[i] for i in learnt[r]]) for w, r in zip(new, raw, strict=True)}
+        out = {c: fresh.get(p[0]) or known[p[0]] if len(p) == 1 else ",".join([fresh.get(w) or known[w] for w in p]) for c, p in zip(chunks, parts, strict=True)}
+        known.update((w, fresh[w]) for w in inner if w in fresh and len(w) <= KEPT_CHUNK)
         return out
 
     def encode_joined(self, texts: list[str]) -> list[str]:
         """For each text its ids in decimal, joined by commas."""
-        cache = self.chunks
-        if len(cache) > KEPT:
-            cache.clear()
+        if len(self.chunks) > self.kept:
+            self.older_chunks, self.chunks = self.chunks, {}
+        cache, older = self.chunks, self.older_chunks
         get, split, found, new = cache.get, [], [], set()
         for t in texts:
             part = self._split(t)
@@ -324,7 +332,8 @@ class Tokenizer:
             found.append(ids)
         if not new:
             return [",".join(ids) for ids in found]
-        fresh = self._encode_chunks([c for c in new if c not in self.added]) | {a: str(i) for a, i in self.added.items()}
+        fresh = {c: older[c] for c in new if c in older}
+        fresh |= self._encode_chunks([c for c in new if c not in fresh and c not in self.added]) | {a: str(i) for a, i in self.added.items()}
         out = [",".join([fresh[c] if i is None else i for c, i in zip(part, ids, strict=True)] if None in ids else ids) for part, ids in zip(split, found, strict=True)]
         cache.update((c, i) for c, i in fresh.items() if len(c) <= KEPT_CHUNK)
         return out
@@ -366,25 +375,28 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text", keep_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text", keep_ids: bool = True, kept: int = KEPT) -> DataFrame:
     """Add to each row ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, if asked, ``token_ids`` (binary, little-endian int32).
 
     ``vocabulary`` is a path that exists on every executor (an installed
     package's file, or one sent with ``--files``).  Null text counts as empty:
     no tokens, digests of the empty string.  Columns of the input that bear one
-    of the added names are replaced.  Rows stay in place: no shuffle.
+    of the added names are replaced.  Rows stay in place: no shuffle.  With
+    fewer chunks and words ``kept`` (see ``KEPT``), a Python worker takes less
+    memory and more time.
     """
     path = vocabulary or default_vocabulary()
     added = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", *(["token_ids binary"] if keep_ids else [])]
     names = {a.split()[0] for a in added}
-    kept = docs.drop(*names)
-    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept.schema.fields), *added])
-    place = kept.columns.index(text)
-    names_out = [*kept.columns, *[a.split()[0] for a in added]]
+    docs = docs.drop(*names)
+    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields), *added])
+    place = docs.columns.index(text)
+    names_out = [*docs.columns, *[a.split()[0] for a in added]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = tokenizer(path)
-        for batch in batches:
+        model.kept = kept
+        for batch in pieces(batches, place):
             for lo in range(0, batch.num_rows, BATCH):
                 part = batch.slice(lo, BATCH)
                 texts = [t or "" for t in part.column(place).to_pylist()]
@@ -402,7 +414,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, text: str = "text", k
                     columns.append(pa.array(raw, pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=names_out)
 
-    return kept.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

@@ -69,6 +69,17 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Record
             at = stop
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on send at most ``PIECE`` bytes at a time to Python tasks of this session, unless it has a lower limit.
+
+    Arrow's buffers, in the JVM and in Python, stay as large as the largest batch that they have held.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key, "64m"))
+    if not 0 < held <= PIECE:
+        spark.conf.set(key, str(PIECE))
+
+
 def once(df: DataFrame, name: str) -> DataFrame:
     """Keep costly columns from being copied into later filters.
 

@@ -680,3 +680,32 @@ def test_components_take_few_steps_and_agree_however_many_edges_a_task_takes(spa
     monkeypatch.setattr(graph, "FEW", 1_500, raising=False)
     assert {r["id"]: r["component"] for r in graph.components(edges).collect()} == want
     assert len(cuts) > 6
+
+
+def test_an_encoding_worker_keeps_a_bounded_number_of_chunks_and_words():
+    model = bpe.Tokenizer(bpe.default_vocabulary())
+    model.kept = 500
+    texts = [" ".join(f"w{i % 900}x{i * 7919}, {w}" for i, w in enumerate(prose(k, 40).split(), 40 * k)) for k in range(60)]
+    plain = bpe.Tokenizer(bpe.default_vocabulary())
+    for text in [*texts, *texts[::-1]]:
+        ids = [i for w in plain.word_re.findall(text) for i in plain.merge(w.encode())]
+        assert model.encode_joined([text]) == [",".join(map(str, ids))]
+        # A full table goes only before the next text, so each may hold one text's more.
+        assert max(len(model.chunks), len(model.words), len(model.older_chunks), len(model.older_words)) <= 500 + 400
+
+
+def test_the_pipeline_sends_bounded_batches_to_python(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        docs = spark.range(8_000).coalesce(1).select(F.col("id").alias("doc_id"), F.lit("web").alias("source"), F.repeat(F.lit("alpha beta "), 200).alias("text"))
+        corpus_pipeline.encode_texts(spark, docs, "")
+        sizes = docs.select("text").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches), "n long")
+        found = [r["n"] for r in sizes.collect()]
+        assert sum(found) > 16_000_000
+        assert max(found) < 2 * common.PIECE
+        spark.conf.set(key, "1m")
+        corpus_pipeline.encode_texts(spark, docs, "")
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)
