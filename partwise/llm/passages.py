@@ -34,6 +34,8 @@ LENGTH = 200
 GRAM = 40
 #: Anchors' places in a window.
 SPAN = LENGTH - GRAM + 1
+#: Half of a window's bytes besides its anchor.
+HALF = (LENGTH - GRAM) // 2
 #: Bytes that are cut into fragments at a time.
 SLICE = 1 << 20
 #: Distinct fragments of an anchor that are compared as one block.
@@ -163,6 +165,9 @@ def compared(parts: DataFrame) -> DataFrame:
                     # A fragment is in several pairs of its anchor's blocks; met twice it would be its own repeat.
                     keys = np.stack([anchor[lo:hi], content[lo:hi], shape[lo:hi].astype(np.int64)], axis=1)
                     pick = lo + np.sort(np.unique(keys, axis=0, return_index=True)[1])
+                pick = pick[paired(anchor[pick], shape[pick], [strings[k] for k in pick])]
+                if len(pick) < 2:
+                    continue
                 found = shared_windows([strings[k] for k in pick])
                 if len(found[0]):
                     who = pick[found[0]]
@@ -178,6 +183,27 @@ def compared(parts: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "anchor long, content long, shape int, low int, high int").distinct()
 
 
+def paired(anchor: np.ndarray, shape: np.ndarray, strings: list[bytes]) -> np.ndarray:
+    """Which fragments may share a window with another of their anchor.
+
+    The anchor stands at the same place in equal windows, and at least half of
+    what a window has besides it is on one side.  So fragments that share one
+    have the same ``HALF`` bytes before their anchors or after them.
+    """
+    before: dict[tuple[int, bytes], int] = {}
+    after: dict[tuple[int, bytes], int] = {}
+    sides = []
+    for name, offset, raw in zip(anchor.tolist(), (shape >> 8).tolist(), strings, strict=True):
+        left = (name, raw[offset - HALF : offset]) if offset >= HALF else None
+        right = (name, raw[offset + GRAM : offset + GRAM + HALF]) if offset + GRAM + HALF <= len(raw) else None
+        sides.append((left, right))
+        if left is not None:
+            before[left] = before.get(left, 0) + 1
+        if right is not None:
+            after[right] = after.get(right, 0) + 1
+    return np.array([before.get(left, 0) > 1 or after.get(right, 0) > 1 for left, right in sides], bool)
+
+
 def shared_windows(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """String, first and last window of each run of windows that another string has too."""
     depth = LENGTH // Q

@@ -709,3 +709,28 @@ def test_the_pipeline_sends_bounded_batches_to_python(spark):
         assert spark.conf.get(key) == "1m"
     finally:
         spark.conf.set(key, before)
+
+
+def test_fragments_that_cannot_share_a_window_are_not_compared():
+    """Only fragments with the same half of a window before or after the anchor go on, and they hold every shared window."""
+    rng = np.random.default_rng(11)
+    gram, offset = rng.integers(97, 123, passages.GRAM, dtype=np.uint8).tobytes(), 160
+    base = rng.integers(97, 123, 400, dtype=np.uint8).tobytes()
+    strings, shapes, names = [], [], []
+    for k in range(300):
+        raw = bytearray(base[:offset] + gram + base[offset : 2 * offset])
+        for at in rng.integers(0, len(raw), k % 9).tolist():
+            if not offset <= at < offset + len(gram):
+                raw[at] = 65 + int(rng.integers(26))
+        cut_at = 0 if k % 2 else int(rng.integers(offset))
+        strings.append(bytes(raw[cut_at:]) if k % 3 else rng.integers(97, 123, offset - cut_at, dtype=np.uint8).tobytes() + gram + bytes(raw[offset + 40 : offset + 80]) + rng.integers(97, 123, 120, dtype=np.uint8).tobytes())
+        shapes.append(((offset - cut_at) << 8) | min(255, len(strings[-1]) - passages.LENGTH))
+        names.append(k % 4)
+    names, shapes = np.array(names, np.int64), np.array(shapes, np.int32)
+    keep = passages.paired(names, shapes, strings)
+    assert 100 <= keep.sum() <= 200
+    assert not keep[::3].any()
+    for name in range(4):
+        own = np.flatnonzero(names == name)
+        once = own[np.unique([strings[k] for k in own], return_index=True)[1]]
+        assert keep[once[passages.shared_windows([strings[k] for k in once])[0]]].all()
