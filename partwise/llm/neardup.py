@@ -62,6 +62,9 @@ PIVOTS = 6
 LOOSE = 0.65
 #: Estimated similarity from which a record that a pivot took needn't meet others: the threshold and a margin.
 TIGHT = 0.9
+#: Bits of the map of ids whose texts are wanted (2 MB), and of one piece of it.
+BITS = 1 << 24
+PIECE_BITS = 1 << 15
 #: Bytes hashed at a time.
 SLICE = 1 << 20
 #: Words longer than this are hashed by xxh3: polynomials modulo 2^64 collide on long words of a known form.
@@ -574,9 +577,25 @@ def proofs(laid: DataFrame, least: int) -> DataFrame:
     return laid.select(*names).repartition("group", "cell").sortWithinPartitions("group", "cell").mapInArrow(run, "a long, b long")
 
 
+def among(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``docs`` without most rows whose ``id`` no member has, so that a join needn't shuffle their texts.
+
+    The members' ids set bits of a map of ``BITS`` bits, sent to all tasks in
+    pieces of 4 KB; a row stays if its bit is set.
+    """
+    bit = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(BITS))
+    bits = members.select(bit.alias("bit")).groupBy((F.col("bit") / PIECE_BITS).cast("long").alias("piece"))
+    held = cut(bits.agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(PIECE_BITS))).alias("bits")))
+    at = F.pmod(bit, F.lit(PIECE_BITS))
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    on = F.getbit(byte, (at % 8).cast("int")) == 1
+    named = docs.withColumn("piece", (bit / PIECE_BITS).cast("long"))
+    return named.join(F.broadcast(held), "piece").where(on).drop("piece", "bits")
+
+
 def with_sets(members: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     """Members ``(id, ...)`` with the sets of the documents of their ids, as bytes in ``hashes``."""
-    joined = members.join(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), "id")
+    joined = members.join(among(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), members), "id")
     names = [c for c in joined.columns if c != "text"]
     place = joined.columns.index("text")
 

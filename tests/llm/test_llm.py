@@ -734,3 +734,14 @@ def test_fragments_that_cannot_share_a_window_are_not_compared():
         own = np.flatnonzero(names == name)
         once = own[np.unique([strings[k] for k in own], return_index=True)[1]]
         assert keep[once[passages.shared_windows([strings[k] for k in once])[0]]].all()
+
+
+def test_texts_of_rows_without_candidates_are_not_shuffled(spark):
+    """``among`` keeps every member, negative ids too, and nearly nothing else."""
+    docs = spark.range(-20_000, 20_000).select("id", F.lit("x").alias("text"))
+    members = spark.range(-20_000, 20_000, 40).select("id")
+    kept = {r["id"] for r in neardup.among(docs, cut(members)).collect()}
+    wanted = set(range(-20_000, 20_000, 40))
+    assert wanted <= kept
+    assert len(kept - wanted) <= 50
+    assert neardup.among(docs, cut(members.where("id > 1000000"))).isEmpty()
