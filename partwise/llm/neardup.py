@@ -577,20 +577,28 @@ def proofs(laid: DataFrame, least: int) -> DataFrame:
     return laid.select(*names).repartition("group", "cell").sortWithinPartitions("group", "cell").mapInArrow(run, "a long, b long")
 
 
-def among(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """``docs`` without most rows whose ``id`` no member has, so that a join needn't shuffle their texts.
+def marked(docs: DataFrame, members: DataFrame, key: str = "id") -> DataFrame:
+    """``docs`` with ``_near_wanted``: true for rows whose ``key`` is the ``id`` of a member, false for most others and all without one.
 
     The members' ids set bits of a map of ``BITS`` bits, sent to all tasks in
-    pieces of 4 KB; a row stays if its bit is set.
+    pieces of 4 KB; a row is wanted if its bit is set.
     """
-    bit = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(BITS))
-    bits = members.select(bit.alias("bit")).groupBy((F.col("bit") / PIECE_BITS).cast("long").alias("piece"))
-    held = cut(bits.agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(PIECE_BITS))).alias("bits")))
-    at = F.pmod(bit, F.lit(PIECE_BITS))
-    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+
+    def bit(name: str) -> Column:
+        return F.pmod(F.xxhash64(name, F.lit(9)), F.lit(BITS))
+
+    bits = members.select(bit("id").alias("bit")).groupBy((F.col("bit") / PIECE_BITS).cast("long").alias("_near_piece"))
+    held = cut(bits.agg(F.bitmap_construct_agg(F.pmod("bit", F.lit(PIECE_BITS))).alias("_near_bits")))
+    at = F.pmod(bit(key), F.lit(PIECE_BITS))
+    byte = F.conv(F.hex(F.substring("_near_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     on = F.getbit(byte, (at % 8).cast("int")) == 1
-    named = docs.withColumn("piece", (bit / PIECE_BITS).cast("long"))
-    return named.join(F.broadcast(held), "piece").where(on).drop("piece", "bits")
+    named = docs.withColumn("_near_piece", (bit(key) / PIECE_BITS).cast("long")).join(F.broadcast(held), "_near_piece", "left")
+    return named.withColumn("_near_wanted", F.coalesce(on, F.lit(False)) & F.col(key).isNotNull()).drop("_near_piece", "_near_bits")
+
+
+def among(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``docs`` without most rows whose ``id`` no member has, so that a join needn't shuffle their texts."""
+    return marked(docs, members).where("_near_wanted").drop("_near_wanted")
 
 
 def with_sets(members: DataFrame, docs: DataFrame, length: int) -> DataFrame:
@@ -678,11 +686,12 @@ def deduplicated(docs: DataFrame, length: int = 5, least: int = 80) -> DataFrame
 
     Of rows that repeat an id one stays; rows with a null id all stay.
     """
-    verdict = cut(near_duplicates(docs, length, least))
-    gone = verdict.where("not kept").select(F.col("doc_id").alias("_near_id")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_near_id"), "left_anti")
-    again = cut(verdict.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_near_id")))
-    if again.isEmpty():
-        return left
-    twice = left.join(again, F.col("doc_id") == F.col("_near_id"), "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, F.col("doc_id") == F.col("_near_id"), "left_anti").unionByName(twice)
+    verdict = cut(near_duplicates(docs, length, least)).where("doc_id is not null")
+    gone = cut(verdict.where("not kept").select(F.col("doc_id").alias("id")).distinct())
+    again = cut(verdict.groupBy(F.col("doc_id").alias("id")).count().where("count > 1").select("id"))
+    # Only rows that may go are shuffled; most others stay where they are, however many go.
+    rows = marked(docs.withColumn("_near_id", F.col("doc_id").cast("long")), gone.unionByName(again), "_near_id")
+    asked = rows.where("_near_wanted").join(gone.withColumnRenamed("id", "_near_gone"), F.col("_near_id") == F.col("_near_gone"), "left_anti")
+    if not again.isEmpty():
+        asked = asked.dropDuplicates(["_near_id"])
+    return rows.where("not _near_wanted").unionByName(asked).drop("_near_id", "_near_wanted")

@@ -745,3 +745,38 @@ def test_texts_of_rows_without_candidates_are_not_shuffled(spark):
     assert wanted <= kept
     assert len(kept - wanted) <= 50
     assert neardup.among(docs, cut(members.where("id > 1000000"))).isEmpty()
+
+
+def shuffled_bytes(spark) -> int:
+    """Bytes that stages of this application have written to shuffles so far."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    quantiles = context._gateway.new_array(context._jvm.double, 0)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, quantiles, context._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+@pytest.mark.parametrize("bits", [neardup.BITS, 64])
+def test_texts_of_rows_that_surely_stay_are_not_shuffled(spark, tmp_path, monkeypatch, bits):
+    """``deduplicated`` moves the rows that may go, even if the table of those is too large to send; a crowded map costs moves, not rows."""
+    monkeypatch.setattr(neardup, "BITS", bits)
+    rng = np.random.default_rng(5)
+    text = [rng.bytes(4_000).hex(" ", 4) for _ in range(400)]
+    rows = [(k, t, f"own {k}") for k, t in enumerate(text)] + [(1000 + k, text[k], "copy") for k in range(20)]
+    rows += [(7, text[7], "again"), (8, rng.bytes(200).hex(" ", 4), "again"), (1003, text[3], "again"), (None, text[9], "null"), (None, "alone", "null"), (None, "alone", "null")]
+    spark.createDataFrame(rows, "doc_id int, text string, id string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = neardup.deduplicated(docs)
+        before = shuffled_bytes(spark)
+        got = out.collect()
+        moved = shuffled_bytes(spark) - before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert out.columns == docs.columns
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == list(range(400))
+    assert collections.Counter(r["text"] for r in got if r["doc_id"] is None) == {text[9]: 1, "alone": 2}
+    assert all((r["doc_id"], r["text"], r["id"]) in rows for r in got)
+    if bits > 64:
+        assert moved < sum(map(len, text)) / 5
