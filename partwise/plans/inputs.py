@@ -13,16 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def brand_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quantity by part brand and customer nation; every cell."""
-    t = lambda n: table(spark, sf_dir, n)
-    lines = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    lines = lines.join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return fill(lines.groupBy(F.col("p_brand").alias("feature"), F.col("n_name").alias("sample")).agg(F.sum("l_quantity").alias("value")))
-
-
-#: The brand matrix of the query that is being built.
-_HELD: dict[tuple[int, str], DataFrame] = {}
+#: What was written once for the query that is being built, by name.
+_HELD: dict[tuple[str, int, str], DataFrame] = {}
 
 
 def forget() -> None:
@@ -30,9 +22,34 @@ def forget() -> None:
     _HELD.clear()
 
 
+def held_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantity by part brand, customer nation and market segment, built and written once a query, whatever number of tables is derived from it.
+
+    Lines are shuffled for their part and their order only: orders find their customer first, by keys, and nations
+    are named after the sum.
+    """
+    key = ("cells", id(spark), sf_dir)
+    if key not in _HELD:
+        t = lambda n: table(spark, sf_dir, n)
+        goods = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_brand", "l_quantity")
+        buyers = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey", "c_mktsegment")
+        lines = goods.join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
+        cells = lines.groupBy("p_brand", "c_nationkey", "c_mktsegment").agg(F.sum("l_quantity").alias("quantity"))
+        nations = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name")
+        cells = cells.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+        _HELD[key] = cut(cells.select("p_brand", "n_name", "c_mktsegment", "quantity"))
+    return _HELD[key]
+
+
+def brand_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantity by part brand and customer nation; every cell."""
+    cells = held_cells(spark, sf_dir)
+    return fill(cells.groupBy(F.col("p_brand").alias("feature"), F.col("n_name").alias("sample")).agg(F.sum("quantity").alias("value")))
+
+
 def held_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The brand matrix, built and written once a query, whatever number of tables is derived from it."""
-    key = (id(spark), sf_dir)
+    """The brand matrix, written once a query."""
+    key = ("brands", id(spark), sf_dir)
     if key not in _HELD:
         _HELD[key] = cut(brand_by_nation(spark, sf_dir))
     return _HELD[key]
@@ -61,10 +78,7 @@ def region_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segment_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Another model: brand weights by market segment, each signature adding up to 1."""
-    t = lambda n: table(spark, sf_dir, n)
-    lines = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    lines = lines.join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-    cells = lines.groupBy(F.col("p_brand").alias("feature"), F.col("c_mktsegment").alias("signature")).agg(F.sum("l_quantity").alias("weight"))
+    cells = held_cells(spark, sf_dir).groupBy(F.col("p_brand").alias("feature"), F.col("c_mktsegment").alias("signature")).agg(F.sum("quantity").alias("weight"))
     return share(cells, "signature", "weight")
 
 

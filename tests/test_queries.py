@@ -9,6 +9,7 @@ import pytest
 
 from partwise import registry
 from partwise.operators import analysis, mapping, matrix, models, stats
+from partwise.plans import inputs, queries
 from partwise.sources import tables
 from tests.conftest import SF
 
@@ -128,3 +129,11 @@ def test_univariate_of_values_that_are_all_one(spark):
     assert math.isnan(got["three"]["p"]) and (got["three"]["max_mean"], got["three"]["posthoc_str"]) == ("c", "")
     assert got["two"]["p"] == 1.0 and (got["two"]["max_mean"], got["two"]["max_median"]) == ("b", "b")
     assert all(r["local_adj_p"] == r["global_adj_p"] == 1.0 and not r["global_reject"] for r in got.values())
+
+
+def test_lines_are_joined_once_a_query(spark, sf_dir):
+    inputs.forget()
+    one = queries.signatures(spark, sf_dir).unionByName(queries.signatures(spark, sf_dir))
+    assert not [f for f in one.inputFiles() if "lineitem" in f or "orders" in f]
+    assert one.count() == 2 * 25 * 10
+    inputs.forget()
