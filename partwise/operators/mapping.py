@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partwise.operators.matrix import share
+from partwise.session import cut
 
 # Patterns of lineage labels, ranks from the left parted by ``;``.
 RANK_MARK = r"[a-zA-Z]__"
@@ -96,26 +96,31 @@ def validate_lineages(x: DataFrame) -> DataFrame:
     and features and samples without mass, are dropped; two features that are one
     after padding to genus depth are an error.  The rest is scaled by sample.
     """
-    size = x.agg(F.count_distinct("feature").alias("m"), F.count_distinct("sample").alias("n")).first()
-    if min(size["m"], size["n"]) < 2:
+    # The table is read often from here on; what is asked of labels is asked of tables of labels.
+    x = cut(x)
+    features = cut(x.groupBy("feature").agg(F.sum("value").alias("t")))
+    samples = cut(x.groupBy("sample").agg(F.sum("value").alias("t")))
+    if min(features.agg(F.count("feature")).first()[0], samples.agg(F.count("sample")).first()[0]) < 2:
         raise ValueError("a table needs two features and two samples; check the delimiter")
-    names = x.select("sample").distinct().agg(F.every(F.col("sample").rlike("^[0-9]+$")).alias("numeric"), F.avg(F.contains(F.upper("sample"), F.lit("BACTERIA;")).cast("int")).alias("taxa")).first()
+    names = samples.agg(F.every(F.col("sample").rlike("^[0-9]+$")).alias("numeric"), F.avg(F.contains(F.upper("sample"), F.lit("BACTERIA;")).cast("int")).alias("taxa")).first()
     if names["numeric"]:
         raise ValueError("all sample names are numbers: the header seems to lack")
     if names["taxa"] > 0.2:
         x = x.select(F.col("sample").alias("feature"), F.col("feature").alias("sample"), "value")
-    first = x.select("feature").distinct().orderBy("feature").limit(10)
-    if first.agg(F.every(F.col("feature").rlike(RANK_MARK)).alias("marked")).first()["marked"]:
-        x = x.withColumn("feature", strip_ranks(F.col("feature")))
-    x = x.where(~numeric(F.col("feature")))
-    labels = x.select("feature").distinct().withColumn("whole", padded(F.col("feature")))
-    twice = labels.groupBy("whole").agg(F.sort_array(F.collect_list("feature")).alias("of")).where("size(of) > 1").orderBy("whole").first()
+        features = samples.withColumnRenamed("sample", "feature")
+    first = features.orderBy("feature").limit(10)
+    marked = first.agg(F.every(F.col("feature").rlike(RANK_MARK)).alias("marked")).first()["marked"]
+    labels = features.withColumn("name", strip_ranks(F.col("feature")) if marked else F.col("feature")).where(~numeric(F.col("name")))
+    wholes = labels.select("name").distinct().withColumn("whole", padded(F.col("name")))
+    twice = wholes.groupBy("whole").agg(F.sort_array(F.collect_list("name")).alias("of")).where("size(of) > 1").orderBy("whole").first()
     if twice is not None:
         raise ValueError(f"features that are one at genus depth: {', '.join(twice['of'][:5])}")
-    x = x.where(~unknown(F.col("feature")))
-    for axis in ("feature", "sample"):
-        x = x.join(x.groupBy(axis).agg(F.sum("value").alias("t")).where("t <> 0").select(axis), axis, "left_semi")
-    return share(x, "sample")
+    labels = labels.where(~unknown(F.col("name")))
+    alive = labels.groupBy("name").agg(F.sum("t").alias("t")).where("t <> 0").select("name")
+    labels = cut(labels.select("feature", "name").join(alive, "name"))
+    y = x.join(labels, "feature").withColumn("feature", F.col("name")).select(*x.columns)
+    totals = cut(y.groupBy("sample").agg(F.sum("value").alias("t")).where("t <> 0"))
+    return y.join(totals, "sample").withColumn("value", F.col("value") / F.col("t")).select(*x.columns)
 
 
 def missing(w: DataFrame, found: DataFrame) -> DataFrame:

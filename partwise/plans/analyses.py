@@ -66,7 +66,9 @@ def lineage_table(spark, d):
     genus = F.when(F.col("p_size") % 10 == 0, F.lit("?")).otherwise(F.concat(F.lit("Gen"), F.substring("p_brand", 8, 1)))
     label = F.concat(F.lit("k__Bacteria;p__"), "p_type", F.lit(";c__"), F.substring("p_brand", 7, 1), F.lit(";o__"), (F.col("p_size") % 3).cast("string"), F.lit(";f__F"), (F.col("p_size") % 2).cast("string"), F.lit(";g__"), genus)
     lines = t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-    x = lines.groupBy(label.alias("feature"), F.concat(F.lit("s"), "l_suppkey").alias("sample")).agg(F.sum("l_quantity").cast("double").alias("value"))
+    # One shuffle serves the sum and keeps a sample's rows together for what follows.
+    cells = lines.select(label.alias("feature"), "l_suppkey", "l_quantity").repartition("l_suppkey").groupBy("feature", "l_suppkey").agg(F.sum("l_quantity").cast("double").alias("value"))
+    x = cells.select("feature", F.concat(F.lit("s"), "l_suppkey").alias("sample"), "value")
     odd = spark.createDataFrame([("-1", "s1", 5.0), ("?;?;?;?;?;?", "s1", 7.0), ("k__Bacteria;p__none;;;;", "s1", 0.0)], "feature string, sample string, value double")
     return x.unionByName(odd)
 

@@ -137,3 +137,8 @@ def test_lines_are_joined_once_a_query(spark, sf_dir):
     assert not [f for f in one.inputFiles() if "lineitem" in f or "orders" in f]
     assert one.count() == 2 * 25 * 10
     inputs.forget()
+
+
+def test_lineages_are_summed_once(spark, sf_dir):
+    got = registry.queries()["lineage_stripped"](spark, sf_dir)
+    assert got.count() > 0 and not [f for f in got.inputFiles() if "lineitem" in f]
